@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from brookline.llm.common import table
 
@@ -36,6 +37,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def in_fold(k: int, n: int) -> Callable[[Column], Column]:
+    """Whether the crc32 of an id as text leaves k when divided by n."""
+    return lambda i: F.pmod(F.crc32(i.cast("string")), F.lit(n)) == k
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brookline.llm import toxicity
+
+    docs, held_out = table(spark, sf_dir, "documents"), in_fold(0, 5)
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out, per_class=1500)
+    scored = toxicity.score(docs, net)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -48,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_toxicity": op7_toxicity,
         "op8_mix_sources": op8_mix_sources,
         "op10_token_files": op10_token_files,
     }
