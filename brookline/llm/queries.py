@@ -42,6 +42,14 @@ def in_fold(k: int, n: int) -> Callable[[Column], Column]:
     return lambda i: F.pmod(F.crc32(i.cast("string")), F.lit(n)) == k
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brookline.llm import language
+
+    docs, held_out = table(spark, sf_dir, "documents"), in_fold(1, 3)
+    found = language.identify(docs, language.fit(docs, held_out, per_class=1000))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brookline.llm import toxicity
 
@@ -61,6 +69,7 @@ FROM d
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language": op1_language,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_toxicity": op7_toxicity,

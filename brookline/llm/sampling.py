@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 LONGEST = 200_000
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str, label_col: str, held_out, seed: int = 7) -> list[tuple[str, int]]:
-    """(text, label) of about per_class rows of each label value, without those that held_out(id column) marks.
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str, label_col: str, held_out, seed: int = 7) -> list[tuple[str, str]]:
+    """(text, label as text) of about per_class rows of each label value, without those that held_out(id column) marks.
 
     A row is in the sample if a hash of its id falls below per_class / rows of its label, so the sample is bounded
     whatever the size of the tables and the same in each run. The chosen ids (a bounded number) are broadcast.
     """
-    lab = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).dropna().dropDuplicates(["i"])
+    lab = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("string").alias("y")).dropna().dropDuplicates(["i"])
     lab = lab.filter(~held_out(F.col("i")))
     counts = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
