@@ -23,6 +23,12 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "size", "source_size", "target", "taken", "copies", "expected")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brookline.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.5)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brookline.llm.simhash import near_duplicates
 
@@ -50,6 +56,14 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brookline.llm import quality
+
+    docs, held_out = table(spark, sf_dir, "documents"), in_fold(0, 5)
+    graded = quality.grade(docs, quality.fit(docs, table(spark, sf_dir, "labels"), held_out, per_grade=1500))
+    return graded.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("selected"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brookline.llm import toxicity
 
@@ -70,8 +84,10 @@ FROM d
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": op1_language,
+        "op3_decontamination": op3_decontamination,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_quality": op6_quality,
         "op7_toxicity": op7_toxicity,
         "op8_mix_sources": op8_mix_sources,
         "op10_token_files": op10_token_files,
