@@ -23,6 +23,12 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "size", "source_size", "target", "taken", "copies", "expected")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brookline.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brookline.llm.decontamination import contaminated
 
@@ -84,6 +90,7 @@ FROM d
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": op1_language,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_exact_dedup": op5_exact_dedup,
