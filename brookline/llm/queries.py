@@ -79,6 +79,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's path is its source, as a directory, and its id."""
+    from brookline.llm.licenses import scan
+
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", F.concat(F.lit("/"), F.coalesce("source", F.lit("unknown")), F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "text")
+    return scan(files, id_col="doc_id")
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -97,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": op6_quality,
         "op7_toxicity": op7_toxicity,
         "op8_mix_sources": op8_mix_sources,
+        "op9_licenses": op9_licenses,
         "op10_token_files": op10_token_files,
     }
 
