@@ -64,3 +64,19 @@ def broken(key: Column) -> Column:
     """The same key as a new expression. A join on it doesn't reuse the partitioning of an
     aggregation below it, so both sides are plain exchanges and AQE may split a hot key."""
     return F.concat(key, F.lit(""))
+
+
+_kept: dict[str, object] = {}
+
+
+def kept_in_worker(key: str, make):
+    """What make() gives, kept in this Python worker for later tasks with the same key. The last few keys stay."""
+    if key not in _kept:
+        while len(_kept) >= 3:
+            _kept.pop(next(iter(_kept)))
+        _kept[key] = make()
+    return _kept[key]
+
+
+def fresh_key() -> str:
+    return uuid.uuid4().hex

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brookline.llm.common import fresh_key, kept_in_worker
+
 WORDS = re.compile(r"[^\W_]+")
 #: Characters of test items that one pass over the documents searches for; more items take more passes.
 BLOCK_CHARS = 16_000_000
@@ -53,8 +55,8 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 class Index:
     """Seeds of a block of test items. Words of items have numbers from 1; all other words are 0 and match nothing."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], frequency: dict[str, int], total: int):
-        self.number = {w: k + 1 for k, w in enumerate(sorted({w for _, words in items for w in words}))}
+    def __init__(self, key: str, items: list[tuple[int, list[str]]], frequency: dict[str, int], total: int):
+        self.key, self.number = key, {w: k + 1 for k, w in enumerate(sorted({w for _, words in items for w in words}))}
         self.items = [(i, np.array([self.number[w] for w in words], np.int64)) for i, words in items]
         self.short = any(len(words) < SEED_WORDS for _, words in items)
         seeds: dict[tuple[int, ...], list[tuple[int, int]]] = {}
@@ -177,8 +179,10 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
     for items in _blocks(benchmark, item_col, item_text):
         number = {w: k + 1 for k, w in enumerate(sorted({w for _, words in items for w in words}))}
 
-        def count(batches: Iterator[pa.RecordBatch], number: dict[str, int] = number) -> Iterator[pa.RecordBatch]:
-            to, n = Numbers(number), np.zeros(len(number) + 1, np.int64)
+        key = fresh_key()
+
+        def count(batches: Iterator[pa.RecordBatch], number: dict[str, int] = number, key: str = key) -> Iterator[pa.RecordBatch]:
+            to, n = kept_in_worker(key, lambda: Numbers(number)), np.zeros(len(number) + 1, np.int64)
             for batch in batches:
                 for text in batch.column(0).to_pylist():
                     n += np.bincount(to(text), minlength=len(n))
@@ -187,7 +191,7 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
 
         counts = {r["k"]: r["n"] for r in docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
         names = {k: w for w, k in number.items()}
-        out.append(Index(items, {names[k]: n for k, n in counts.items() if k}, sum(counts.values())))
+        out.append(Index(key, items, {names[k]: n for k, n in counts.items() if k}, sum(counts.values())))
     return out
 
 
@@ -205,7 +209,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for index in _indexes(docs, benchmark, text_col, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            to = Numbers(index.number)
+            to = kept_in_worker(index.key, lambda: Numbers(index.number))
             for batch in batches:
                 found = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in index.matches(to(t), least)]
                 if found:
@@ -224,7 +228,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for index in _indexes(docs, benchmark, text_col, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            to = Numbers(index.number)
+            to = kept_in_worker(index.key, lambda: Numbers(index.number))
             for batch in batches:
                 clean = [next(index.matches(to(t), least), None) is None for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brookline.llm.common import kept_in_worker
 from brookline.llm.sampling import labelled_sample
 
 ROWS = 1 << 17
@@ -149,7 +150,7 @@ def grade(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text_c
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        features = kept_in_worker("quality", Features)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 piece = batch.slice(a, 256)

@@ -22,7 +22,7 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brookline.llm.common import new_folder, written
+from brookline.llm.common import kept_in_worker, new_folder, written
 
 MAGIC = b"BPSHUF01"
 TAIL = struct.Struct("<QIQQ8s")
@@ -45,9 +45,8 @@ def shuffle_block(ids: np.ndarray, planes: str = "bit") -> list[bytes]:
         rows = ids.view(np.uint8).reshape(-1, 4).T
         return [row.tobytes() if row.any() else b"" for row in rows]
     top = int(ids.max()).bit_length() if len(ids) else 0
-    bits = np.unpackbits(ids.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :top]
-    packed = np.packbits(bits.T, axis=1, bitorder="little")
-    return [row.tobytes() for row in packed] + [b""] * (32 - top)
+    planes = [np.packbits((ids >> np.uint32(k)).astype(np.uint8) & 1, bitorder="little") for k in range(top)]
+    return [p.tobytes() if p.any() else b"" for p in planes] + [b""] * (32 - top)
 
 
 def unshuffle_block(planes: list[bytes], n: int) -> np.ndarray:
@@ -143,37 +142,68 @@ class Reader:
 
 class Encoder:
     """Ids of texts by the tokenizers library. White space separates its words, so each distinct run
-    between ASCII white space is encoded once and remembered; the memory is emptied when it is full."""
+    between ASCII white space is encoded once and remembered. A comma or full stop after a letter is a word of its own to
+    the library, and it lower-cases; runs that differ in no more than that share one encoding. Memory has two generations: when the
+    newer is full it becomes the older, and what is used again moves up."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 300_000, most_bases: int = 450_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-
-    def learn(self, words: Iterable[str]) -> None:
-        known = self.known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = list(words)
-        for a in range(0, len(new), 4096):
-            for w, e in zip(new[a : a + 4096], self.tokenizer.encode_batch_fast(new[a : a + 4096], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        self.tokenizer, self.most, self.most_bases = Tokenizer.from_file(path), most, most_bases
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.base: dict[str, bytes] = {}
+        self.older_base: dict[str, bytes] = {}
+        self.marks = {m: self._encode([m])[0] for m in ",."}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    @staticmethod
+    def _split(w: str) -> tuple[str, str]:
+        mark = w[-1] if len(w) > 1 and w[-1] in ",." and w[-2].isalpha() else ""
+        body = w[:-1] if mark else w
+        return body.lower() if body.isascii() else body, mark
+
+    def learn(self, words: set[str]) -> None:
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > self.most:
+            self.older, self.known = self.known, {}
+            new = words
+        parts = {}
+        for w in new:
+            if w in self.older:
+                self.known[w] = self.older[w]
+            elif w:
+                parts[w] = self._split(w)
+            else:
+                self.known[w] = b""
+        bodies = {b for b, _ in parts.values()}.difference(self.base)
+        if len(self.base) + len(bodies) > self.most_bases:
+            self.older_base, self.base = self.base, {}
+            bodies = {b for b, _ in parts.values()}
+        unseen = []
+        for b in bodies:
+            if b in self.older_base:
+                self.base[b] = self.older_base[b]
+            else:
+                unseen.append(b)
+        for a in range(0, len(unseen), 2048):
+            self.base.update(zip(unseen[a : a + 2048], self._encode(unseen[a : a + 2048]), strict=True))
+        for w, (body, mark) in parts.items():
+            self.known[w] = self.base[body] + self.marks[mark] if mark else self.base[body]
 
     def __call__(self, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
         end = struct.pack("<I", end_id)
         for a in range(0, len(texts), 64):
-            split = [t.translate(_SPACES).split(" ") for t in texts[a : a + 64]]
+            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[a : a + 64]]
             self.learn(set().union(*split))
             get = self.known.__getitem__
             for words in split:
                 yield np.frombuffer(b"".join(map(get, words)) + end, "<u4")
 
 
-_SPACES = {c: " " for c in b"\t\n\r"}
-
-
 def _open(uri: str):
     fs, path = pafs.FileSystem.from_uri(uri)
     return fs, path
@@ -198,7 +228,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, id_col: str
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, writer, part = Encoder(vocabulary), None, TaskContext.get().partitionId()
+        encode, writer, part = kept_in_worker(vocabulary, lambda: Encoder(vocabulary)), None, TaskContext.get().partitionId()
         fs, base = _open(folder)
         name, hidden = f"{base}/part-{part:06d}.bps", f"{base}/.{part:06d}-{uuid.uuid4().hex}"
         for batch in batches:
