@@ -96,3 +96,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     copies = F.when(F.col("size") > 0, F.col("sure") + F.col("more")).otherwise(F.lit(0)).cast("long")
     out = rest.unionByName(at).withColumn("copies", copies)
     return out.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "expected", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs, each as many times as mix() takes it (none included), with all their columns."""
+    taken = mix(docs, id_col, text_col, source_col, **options).filter("copies > 0")
+    taken = written(taken.select(F.col(id_col).alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("copies").alias("__c")).distinct(), "mix-copies")
+    keyed = docs.withColumn("__i", F.col(id_col)).withColumn("__n", word_count(F.col(text_col)))
+    same = keyed["__i"].eqNullSafe(taken["__i"]) & keyed[source_col].cast("string").eqNullSafe(taken["__s"]) & (keyed["__n"] == taken["__n"])
+    rows = keyed.join(taken, same).select(*[keyed[f"`{c}`"] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("__c").cast("int"))).alias("__copy"))
+    return rows.drop("__copy")

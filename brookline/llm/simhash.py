@@ -303,3 +303,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = written(of, "fingerprint-components")
     out = marked.join(of, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs whose id is the smallest of its component, one row of each component, all columns.
+
+    A component of rows without ids keeps one of them. Ids on several rows leave one row.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    groups = written(near_duplicates(docs.select(key.alias("k"), F.col(text_col).alias("t")), "k", "t", **options), "groups")
+    stay = written(groups.filter("k = component_id").select("k").distinct(), "representatives")
+    repeated = stay.count() < groups.filter("k = component_id").count()
+    kept = docs.withColumn("__k", key).join(stay.withColumnRenamed("k", "__k"), "__k", "left_semi")
+    if repeated:
+        kept = kept.dropDuplicates(["__k"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
