@@ -19,7 +19,7 @@ import brookline.operators.load  # noqa: F401  registers all operators
 from brookline.operators.registry import UsageError, find, parse
 from brookline.plans.frame import SEQ, Events, events
 
-_TOKEN = re.compile(r"""\s*(?:(?P<comment>\#[^\n;]*)|(?P<pipe>\|)|(?P<end>;|\n)|(?P<single>'[^']*')|(?P<double>"(?:\\.|[^"\\])*")|(?P<var>\$[A-Za-z_]\w*)|(?P<word>[^\s|;'"]+))""")
+_TOKEN = re.compile(r"""[^\S\n]*(?:(?P<comment>\#[^\n;]*)|(?P<pipe>\|)|(?P<end>;|\n)|(?P<single>'[^']*')|(?P<double>"(?:\\.|[^"\\])*")|(?P<var>\$[A-Za-z_]\w*)|(?P<word>[^\s|;'"]+))""")
 
 
 @dataclass
