@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _folders: set[str] = set()
 
@@ -51,7 +53,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     executor costs the tasks that ran on it, never the stages before the table."""
     spark = df.sparkSession
     path = new_folder(spark, what)
-    df.write.parquet(path)
+    # Nothing reads the shuffle files of this write again, so Spark may drop them when it ends.
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,8 +9,10 @@ removal, two of them are compared (128 bits).
 Only suffixes that can matter are ever shuffled. The q-gram bucket of a 200-byte window is that of the least depth-32 pointer
 in it (its anchor); equal windows have equal anchors at equal places. Windows in a row with one
 anchor form a span, about one in 85 bytes. Spans are sorted into buckets by (anchor, span pointer):
-a span that occurs twice is repeated as a whole. Buckets whose anchor is shared by different spans
-are refined further, window by window, with one span for each class.
+a span that occurs twice is repeated as a whole. Buckets whose anchor is shared by different spans are refined in two
+more steps, with one span for each class: blocks of 16 windows at equal distances from the anchor are sorted by the pointer of what all
+windows of the block share; where others share it too, the block is repeated as a whole or goes on to the last
+step, window by window.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from brookline.llm.common import written
 
 Q = 32
+#: Windows of a block in the second step.
+WIDE = 16
 #: Bytes of text that one pass of the refinement holds; a single longer text is taken whole.
 BLOCK = 2_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -79,9 +83,29 @@ def least_places(p: np.ndarray, width: int) -> np.ndarray:
     return start + ((best & mask).astype(np.int64) - start & ((1 << 28) - 1))
 
 
+def _cover(whole: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Pointers of the strings that the windows from first to last cover. They overlap, so the two outer ones hold all."""
+    h = whole[first] * _B ^ (whole[last] + (last - first).astype(np.uint64)) * _A
+    h ^= h >> np.uint64(30)
+    return h * _C
+
+
+def blocks_of(text: bytes, first: np.ndarray, last: np.ndarray, gap: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(span number, first window, last window, pointer of the common part, two pointers of the cover) of the spans' blocks."""
+    near, far = gap - (last - first), gap
+    n = far // WIDE - near // WIDE + 1
+    k = np.repeat(np.arange(len(n)), n)
+    b = near[k] // WIDE + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    anchor = (first + gap)[k]
+    a, z = anchor - np.minimum(far[k], b * WIDE + WIDE - 1), anchor - np.maximum(near[k], b * WIDE)
+    one, two = (pointers(text, (length - WIDE + 1, length), lane) for lane in (0, 1))
+    core = one[length - WIDE + 1][anchor - b * WIDE]
+    return k, a, z, core.view(np.int64), _cover(one[length], a, z).view(np.int64), _cover(two[length], a, z).view(np.int64)
+
+
 def spans_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(text number, first window, last window, anchor pointer, span pointer) of all spans of the texts."""
-    none = (np.zeros(0, np.int64),) * 5
+    """(text number, first window, last window, bytes from the first window to the anchor, anchor pointer, span pointer)."""
+    none = (np.zeros(0, np.int64),) * 6
     data = b"".join(texts)
     if len(data) < length:
         return none
@@ -98,11 +122,9 @@ def spans_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     last = np.r_[first[1:], windows] - 1
     keep = valid[first]
     first, last = first[keep], last[keep]
-    span = whole[first] * _B ^ (whole[last] + (last - first).astype(np.uint64)) * _A
-    span ^= span >> np.uint64(30)
-    span *= _C
+    span = _cover(whole, first, last)
     who = owner[first]
-    return who, first - start[who], last - start[who], gram[anchor[first]].view(np.int64), span.view(np.int64)
+    return who, first - start[who], last - start[who], anchor[first] - first, gram[anchor[first]].view(np.int64), span.view(np.int64)
 
 
 def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -120,6 +142,30 @@ def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
 
+def _same(*keys: str) -> list:
+    """Join keys as new expressions: both sides of the join are plain exchanges then, and AQE may split a hot key."""
+    return [F.col(k).bitwiseXOR(F.lit(0).cast("long")).alias(f"k{n}") for n, k in enumerate(keys)]
+
+
+def _semi(rows: DataFrame, keys: tuple[str, ...], wanted: DataFrame) -> DataFrame:
+    names = [f"k{n}" for n in range(len(keys))]
+    return rows.select("*", *_same(*keys)).join(wanted.select(*_same(*keys)), names, "left_semi").drop(*names)
+
+
+def _classes(rows: DataFrame, bucket: str, *finer: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (with at, many) by bucket and finer pointers: the classes that occur twice, and (at, many) of one row of each class in the buckets
+    that hold several classes, one of them of a single row."""
+    c = rows.groupBy(bucket, *finer).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"), F.max("many").alias("many"))
+    c = written(c.select(bucket, *finer, "at", (F.col("many") | (F.col("n") > 1)).alias("many")), "classes")
+    mixed = c.groupBy(bucket).agg(F.count(F.lit(1)).alias("c"), F.min("many").alias("settled")).filter("c > 1 and not settled")
+    return c.filter("many"), _semi(c, (bucket,), mixed).select("at", "many")
+
+
+def _listed(rows: DataFrame, chosen: DataFrame, *fields: str) -> DataFrame:
+    """The chosen rows as one list for each text."""
+    return rows.drop("many").join(chosen, "at").groupBy("id", "x").agg(F.collect_list(F.struct(*fields, "many")).alias("spans"))
+
+
 def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     """(id, x, a, b): byte ranges that repeated windows cover. docs: id, x, t (bytes)."""
 
@@ -127,38 +173,47 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for lo, hi in _blocks(texts):
-                who, first, last, anchor, span = spans_of(texts[lo:hi], length)
+                who, first, last, gap, anchor, span = spans_of(texts[lo:hi], length)
                 at = pa.array(who + lo)
-                yield _batch(["id", "x", "first", "last", "anchor", "span"], batch.column(0).take(at), batch.column(1).take(at), first.astype(np.int32), last.astype(np.int32), anchor, span)
-
-    found = docs.mapInArrow(spans, "id long, x int, first int, last int, anchor long, span long")
-    every = written(found.withColumn("at", F.monotonically_increasing_id()), "spans")  # written once, so the numbers stay
-    classes = written(every.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at")), "span-classes")
-    # Anchors that different spans share: one span of each class is refined window by window.
-    mixed = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
-    refine = classes.join(mixed, "anchor", "left_semi").select("at", (F.col("n") > 1).alias("many"))
-    twice = classes.filter("n > 1").select(F.concat_ws(",", "anchor", "span").alias("k"))
-    whole = every.select("id", "x", "first", "last", F.concat_ws(",", "anchor", "span").alias("k")).join(twice, "k", "left_semi")
-    whole = whole.select("id", "x", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+                yield _batch(["id", "x", "first", "last", "gap", "anchor", "span"], batch.column(0).take(at), batch.column(1).take(at), first.astype(np.int32), last.astype(np.int32), gap.astype(np.int16), anchor, span)
 
-    wanted = every.select("id", "x", "first", "last", "at").join(refine, "at").groupBy("id", "x").agg(F.collect_list(F.struct("first", "last", "many")).alias("spans"))
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first, last, gap = (np.array([s[c] for s in found], np.int64) for c in ("first", "last", "gap"))
+                k, a, z, core, one, two = blocks_of(text, first, last, gap, length)
+                many = np.array([s["many"] for s in found])[k]
+                yield _batch(["id", "x", "first", "last", "core", "one", "two", "many"], np.full(len(k), i), np.full(len(k), x, np.int32), a.astype(np.int32), z.astype(np.int32), core, one, two, many)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, x, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                one, two = (pointers(text, (Q, length), lane)[length].view(np.int64) for lane in (0, 1))
-                places = np.concatenate([np.arange(s["first"], s["last"] + 1) for s in spans])
-                many = np.repeat([s["many"] for s in spans], [s["last"] - s["first"] + 1 for s in spans])
-                for a in range(0, len(places), 100_000):
-                    p = places[a : a + 100_000]
-                    yield _batch(["id", "x", "p", "one", "two", "many"], np.full(len(p), i), np.full(len(p), x, np.int32), p.astype(np.int32), one[p], two[p], many[a : a + 100_000])
-
-    # A text comes once here even if its row is repeated: the spans are those of one place.
-    held = docs.join(wanted.hint("shuffle_hash"), ["id", "x"]).select("id", "x", "t", "spans").mapInArrow(windows, "id long, x int, p int, one long, two long, many boolean")
-    held = written(held, "windows")
-    again = held.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many")).filter("n > 1 or many").select(F.concat_ws(",", "one", "two").alias("k"))
-    single = held.filter("not many").select("id", "x", "p", F.concat_ws(",", "one", "two").alias("k")).join(again, "k", "left_semi")
-    return whole.unionByName(single.select("id", "x", F.col("p").alias("a"), (F.col("p") + length).alias("b")))
+            for i, x, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                one, two = (pointers(text, (length,), lane)[length].view(np.int64) for lane in (0, 1))
+                p = np.concatenate([np.arange(s["first"], s["last"] + 1) for s in found])
+                many = np.repeat([s["many"] for s in found], [s["last"] - s["first"] + 1 for s in found])
+                yield _batch(["id", "x", "p", "one", "two", "many"], np.full(len(p), i), np.full(len(p), x, np.int32), p.astype(np.int32), one[p], two[p], many)
+
+    def covered(rows: DataFrame) -> DataFrame:
+        return rows.select("id", "x", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+
+    def with_text(lists: DataFrame) -> DataFrame:
+        return docs.join(lists.hint("shuffle_hash"), ["id", "x"]).select("id", "x", "t", "spans")
+
+    # Rows are written once, so that their numbers stay.
+    found = docs.mapInArrow(spans, "id long, x int, first int, last int, gap short, anchor long, span long")
+    every = written(found.withColumn("at", F.monotonically_increasing_id()).withColumn("many", F.lit(False)), "spans")
+    twice, chosen = _classes(every, "anchor", "span")
+    out = covered(_semi(every, ("anchor", "span"), twice))
+    # A text comes once even if its row is repeated: a span is a place in a text.
+    held = with_text(_listed(every, chosen, "first", "last", "gap")).mapInArrow(blocks, "id long, x int, first int, last int, core long, one long, two long, many boolean")
+    held = written(held.withColumn("at", F.monotonically_increasing_id()), "blocks")
+    twice, chosen = _classes(held, "core", "one", "two")
+    out = out.unionByName(covered(_semi(held.filter("not many"), ("core", "one", "two"), twice)))
+    single = with_text(_listed(held, chosen, "first", "last")).mapInArrow(windows, "id long, x int, p int, one long, two long, many boolean")
+    single = written(single, "windows")
+    again = single.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many")).filter("n > 1 or many")
+    last = _semi(single.filter("not many"), ("one", "two"), again).select("id", "x", F.col("p").alias("a"), (F.col("p") + length).alias("b"))
+    return out.unionByName(last)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, with_text: bool = False) -> DataFrame:
