@@ -146,7 +146,7 @@ class Encoder:
     the library, and it lower-cases; runs that differ in no more than that share one encoding. Memory has two generations: when the
     newer is full it becomes the older, and what is used again moves up."""
 
-    def __init__(self, path: str, most: int = 300_000, most_bases: int = 450_000):
+    def __init__(self, path: str, most: int = 300_000, most_bases: int = 900_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
