@@ -142,6 +142,20 @@ def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
 
+def _joined(names: list[str], batches: Iterator[pa.RecordBatch], one_text) -> Iterator[pa.RecordBatch]:
+    """What one_text gives for each row (id, x, text, spans), in batches of at least 50,000 rows."""
+    parts, size = [], 0
+    for batch in batches:
+        for i, x, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            parts.append(one_text(i, x, text, found))
+            size += len(parts[-1][0])
+            if size >= 50_000:
+                yield _batch(names, *(np.concatenate(c) for c in zip(*parts, strict=True)))
+                parts, size = [], 0
+    if parts:
+        yield _batch(names, *(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+
 def _same(*keys: str) -> list:
     """Join keys as new expressions: both sides of the join are plain exchanges then, and AQE may split a hot key."""
     return [F.col(k).bitwiseXOR(F.lit(0).cast("long")).alias(f"k{n}") for n, k in enumerate(keys)]
@@ -178,20 +192,23 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
                 yield _batch(["id", "x", "first", "last", "gap", "anchor", "span"], batch.column(0).take(at), batch.column(1).take(at), first.astype(np.int32), last.astype(np.int32), gap.astype(np.int16), anchor, span)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, x, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                first, last, gap = (np.array([s[c] for s in found], np.int64) for c in ("first", "last", "gap"))
-                k, a, z, core, one, two = blocks_of(text, first, last, gap, length)
-                many = np.array([s["many"] for s in found])[k]
-                yield _batch(["id", "x", "first", "last", "core", "one", "two", "many"], np.full(len(k), i), np.full(len(k), x, np.int32), a.astype(np.int32), z.astype(np.int32), core, one, two, many)
+        names = ["id", "x", "first", "last", "core", "one", "two", "many"]
+
+        def one_text(i: int, x: int, text: bytes, found: list[dict]) -> tuple[np.ndarray, ...]:
+            first, last, gap = (np.array([s[c] for s in found], np.int64) for c in ("first", "last", "gap"))
+            k, a, z, core, one, two = blocks_of(text, first, last, gap, length)
+            return np.full(len(k), i), np.full(len(k), x, np.int32), a.astype(np.int32), z.astype(np.int32), core, one, two, np.array([s["many"] for s in found])[k]
+
+        return _joined(names, batches, one_text)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, x, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                one, two = (pointers(text, (length,), lane)[length].view(np.int64) for lane in (0, 1))
-                p = np.concatenate([np.arange(s["first"], s["last"] + 1) for s in found])
-                many = np.repeat([s["many"] for s in found], [s["last"] - s["first"] + 1 for s in found])
-                yield _batch(["id", "x", "p", "one", "two", "many"], np.full(len(p), i), np.full(len(p), x, np.int32), p.astype(np.int32), one[p], two[p], many)
+        def one_text(i: int, x: int, text: bytes, found: list[dict]) -> tuple[np.ndarray, ...]:
+            one, two = (pointers(text, (length - WIDE + 1, length), lane)[length].view(np.int64) for lane in (0, 1))
+            p = np.concatenate([np.arange(s["first"], s["last"] + 1) for s in found])
+            many = np.repeat([s["many"] for s in found], [s["last"] - s["first"] + 1 for s in found])
+            return np.full(len(p), i), np.full(len(p), x, np.int32), p.astype(np.int32), one[p], two[p], many
+
+        return _joined(["id", "x", "p", "one", "two", "many"], batches, one_text)
 
     def covered(rows: DataFrame) -> DataFrame:
         return rows.select("id", "x", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
