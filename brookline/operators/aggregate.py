@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brookline.operators.filters import strict_number
 from brookline.operators.registry import UsageError, arg, operator, words
-from brookline.plans.frame import SEQ, Events
+from brookline.plans.frame import SEQ, Events, numbered
 
 _CACHE = arg("-c", "--cache-size", type=int)
 
@@ -85,12 +85,15 @@ def histogram(ev: Events, a) -> Events:
     spec = boundaries(a.buckets)
     facts = [F.count(F.lit(1)).alias("total"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("median")]
     if isinstance(spec, int):
-        # Bounds are the values at ranks i * n / N; a rank is found without sorting a key's values in one list.
+        # Bounds are the values at ranks i * n / N.
         own = Window.partitionBy("key")
-        ranked = df.withColumn("r", F.row_number().over(own.orderBy("x")) - 1).withColumn("n", F.count(F.lit(1)).over(own))
+        if a.key:
+            ranked = df.withColumn("r", F.row_number().over(own.orderBy("x")) - 1).withColumn("n", F.count(F.lit(1)).over(own))
+        else:
+            ranked = numbered(Events(df.withColumn(SEQ, F.col("x")), SEQ), "r", 0).withColumn("n", F.lit(df.count()))
         at = F.transform(F.sequence(F.lit(0), F.lit(spec)), lambda i: F.least(F.floor(i * F.col("n") / spec), F.col("n") - 1))
         bounds = ranked.filter(F.array_contains(at, F.col("r").cast("long"))).groupBy("key").agg(F.array_sort(F.collect_set("x")).alias("b"))
-        df = df.join(bounds, "key")
+        df = df.join(bounds, "key") if a.key else df.crossJoin(F.broadcast(bounds.select("b")))  # one row
         many = F.size("b")
         place = F.size(F.filter("b", lambda y: y <= F.col("x")))
         place = F.when((many > 1) & (F.col("x") == F.element_at("b", -1)), many - 1).when(many <= 1, 0).otherwise(place)
@@ -216,8 +219,6 @@ def _ranked(ev: Events, df, a) -> Events:
 def _global_rank(ev: Events, df, a) -> Events:
     """Ranks over everything from counts of distinct values: values are few or spread over ranges; no task gets all rows."""
     counts = Events(df.groupBy("__x").agg(F.count(F.lit(1)).alias("__c")).withColumn(SEQ, F.col("__x") if a.asc else -F.col("__x")), SEQ)
-    from brookline.plans.frame import numbered
-
     run = numbered(counts, "__upto", 1, F.col("__c"))
     run = numbered(Events(run, SEQ), "__d", 1) if a.dense else run.withColumn("__d", F.col("__upto") - F.col("__c") + 1)
     total = df.count()

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from brookline.functions.times import duration_ms, rfc3339, window_ms
 from brookline.operators.filters import strict_number
 from brookline.operators.registry import UsageError, arg, operator, words
-from brookline.plans.frame import SEQ, Events, in_ranges
+from brookline.plans.frame import SEQ, Events, in_ranges, numbered
 
 
-def drop_late(ev: Events, lateness: int) -> Events:
-    """Events (with __ts) that are not behind the latest time seen before them by more than `lateness` ms.
+def running_max(ev: Events, label: str) -> Events:
+    """Add the latest __ts among all events before each one, null for the first.
 
     The running maximum over all events is made without one task for all: events are dealt into ranges of the order, each range
     gets the maximum of the ranges before it from a table with one row per range.
@@ -22,8 +22,14 @@ def drop_late(ev: Events, lateness: int) -> Events:
     tops = ranged.groupBy("__p").agg(F.max("__ts").alias("__t"))
     tops = tops.select("__p", F.max("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("__b"))
     df = ranged.withColumn("__m", F.max("__ts").over(own)).join(F.broadcast(tops), "__p")
-    seen = F.greatest(F.coalesce("__m", F.lit(0)), F.coalesce("__b", F.lit(0)), F.lit(0))
-    return ev.with_df(df.filter(F.col("__ts") >= seen - lateness).drop("__p", "__m", "__b"))
+    return ev.with_df(df.withColumn(label, F.greatest("__m", "__b")).drop("__p", "__m", "__b"))
+
+
+def drop_late(ev: Events, lateness: int) -> Events:
+    """Events (with __ts) that are not behind the latest time seen before them by more than `lateness` ms."""
+    ev = running_max(ev, "__seen")
+    seen = F.greatest(F.coalesce("__seen", F.lit(0)), F.lit(0))
+    return ev.with_df(ev.df.filter(F.col("__ts") >= seen - lateness).drop("__seen"))
 
 
 def _measures(a) -> dict:
@@ -84,10 +90,14 @@ def window(ev: Events, a) -> Events:
 
 
 def _session(ev: Events, a, gap: int) -> Events:
-    own = ev.by(F.col("__k"))
-    before = F.max("__ts").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    ev = ev.add("__new", F.coalesce((F.col("__ts") - before >= gap).cast("int"), F.lit(0)))
-    ev = ev.add("__n", F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    new = F.coalesce((F.col("__ts") - F.col("__before") >= gap).cast("int"), F.lit(0))
+    if a.key:
+        own = ev.by(F.col("__k"))
+        ev = ev.add("__before", F.max("__ts").over(own.rowsBetween(Window.unboundedPreceding, -1)))
+        ev = ev.add("__new", new).add("__n", F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    else:  # one session for all keys at a time: running values over ranges of the order
+        ev = running_max(ev, "__before")
+        ev = ev.with_df(numbered(ev, "__n", 1, new))
     if a.emit == "on-update":
         w = Window.partitionBy("__k", "__n").orderBy(ev.seq()).rowsBetween(Window.unboundedPreceding, 0)
         df = ev.df.select("__k", "__n", ev.seq().alias(SEQ), F.first("__ts").over(w).alias("__w"), F.max("__ts").over(w).alias("__e"), *[m.over(w).alias(c) for c, m in _measures(a).items()])

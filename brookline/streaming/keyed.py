@@ -18,7 +18,7 @@ def uniq(df: DataFrame, path: str, time: str | None = None, within: str | None =
     """First event of each key. With a time column and a duration the state is forgotten behind the watermark."""
     keyed = df.withColumn("__k", Events(df).key(path)).filter("__k is not null")
     if time and within:
-        return keyed.withWatermark(time, within.replace("s", " seconds") if within.endswith("s") else within).dropDuplicatesWithinWatermark(["__k"]).drop("__k")
+        return keyed.withWatermark(time, f"{duration_ms(within)} milliseconds").dropDuplicatesWithinWatermark(["__k"]).drop("__k")
     return keyed.dropDuplicates(["__k"]).drop("__k")
 
 
