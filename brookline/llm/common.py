@@ -60,7 +60,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() made, once nothing is left to be computed from them."""
+    for t in tables:
+        _drop(t.sparkSession, t.scratch_path)
 
 
 def ascii_lower(c: Column) -> Column:

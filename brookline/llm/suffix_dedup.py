@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookline.llm.common import written
+from brookline.llm.common import discard, written
 
 Q = 32
 #: Windows of a block in the second step.
@@ -166,13 +166,13 @@ def _semi(rows: DataFrame, keys: tuple[str, ...], wanted: DataFrame) -> DataFram
     return rows.select("*", *_same(*keys)).join(wanted.select(*_same(*keys)), names, "left_semi").drop(*names)
 
 
-def _classes(rows: DataFrame, bucket: str, *finer: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (with at, many) by bucket and finer pointers: the classes that occur twice, and (at, many) of one row of each class in the buckets
+def _classes(rows: DataFrame, bucket: str, *finer: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (with at, many) by bucket and finer pointers: the table of classes, those that occur twice, and (at, many) of one row of each class in the buckets
     that hold several classes, one of them of a single row."""
     c = rows.groupBy(bucket, *finer).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"), F.max("many").alias("many"))
     c = written(c.select(bucket, *finer, "at", (F.col("many") | (F.col("n") > 1)).alias("many")), "classes")
     mixed = c.groupBy(bucket).agg(F.count(F.lit(1)).alias("c"), F.min("many").alias("settled")).filter("c > 1 and not settled")
-    return c.filter("many"), _semi(c, (bucket,), mixed).select("at", "many")
+    return c, c.filter("many"), _semi(c, (bucket,), mixed).select("at", "many")
 
 
 def _listed(rows: DataFrame, chosen: DataFrame, *fields: str) -> DataFrame:
@@ -219,18 +219,22 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     # Rows are written once, so that their numbers stay.
     found = docs.mapInArrow(spans, "id long, x int, first int, last int, gap short, anchor long, span long")
     every = written(found.withColumn("at", F.monotonically_increasing_id()).withColumn("many", F.lit(False)), "spans")
-    twice, chosen = _classes(every, "anchor", "span")
-    out = covered(_semi(every, ("anchor", "span"), twice))
+    classes, twice, chosen = _classes(every, "anchor", "span")
+    whole = written(covered(_semi(every, ("anchor", "span"), twice)), "whole-spans")
     # A text comes once even if its row is repeated: a span is a place in a text.
     held = with_text(_listed(every, chosen, "first", "last", "gap")).mapInArrow(blocks, "id long, x int, first int, last int, core long, one long, two long, many boolean")
     held = written(held.withColumn("at", F.monotonically_increasing_id()), "blocks")
-    twice, chosen = _classes(held, "core", "one", "two")
-    out = out.unionByName(covered(_semi(held.filter("not many"), ("core", "one", "two"), twice)))
+    discard(every, classes)
+    classes, twice, chosen = _classes(held, "core", "one", "two")
+    parts = written(covered(_semi(held.filter("not many"), ("core", "one", "two"), twice)), "whole-blocks")
     single = with_text(_listed(held, chosen, "first", "last")).mapInArrow(windows, "id long, x int, p int, one long, two long, many boolean")
     single = written(single, "windows")
+    discard(held, classes)
     again = single.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many")).filter("n > 1 or many")
     last = _semi(single.filter("not many"), ("one", "two"), again).select("id", "x", F.col("p").alias("a"), (F.col("p") + length).alias("b"))
-    return out.unionByName(last)
+    last = written(last, "single-windows")
+    discard(single)
+    return whole.unionByName(parts).unionByName(last)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, with_text: bool = False) -> DataFrame:
