@@ -155,10 +155,29 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.base: dict[str, bytes] = {}
         self.older_base: dict[str, bytes] = {}
+        # Whether an id ends a word of the library.
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[k for w, k in vocabulary.items() if w.endswith(suffix)]] = True
         self.marks = {m: self._encode([m])[0] for m in ",."}
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """Ids of each word. Words of letters alone are encoded many at a time, as one text, and cut where a word ends; if the
+        cuts don't agree with the words in number, these are encoded one by one."""
+        out: dict[str, bytes] = {}
+        plain = [w for w in words if w.isalpha()]
+        for a in range(0, len(plain), 256):
+            some = plain[a : a + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                out.update((w, ids[s:e].tobytes()) for w, s, e in zip(some, [0, *cuts[:-1]], cuts, strict=True))
+        rest = [w for w in words if w not in out]
+        for a in range(0, len(rest), 2048):
+            some = rest[a : a + 2048]
+            out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
+        return [out[w] for w in words]
 
     @staticmethod
     def _split(w: str) -> tuple[str, str]:
@@ -189,8 +208,7 @@ class Encoder:
                 self.base[b] = self.older_base[b]
             else:
                 unseen.append(b)
-        for a in range(0, len(unseen), 2048):
-            self.base.update(zip(unseen[a : a + 2048], self._encode(unseen[a : a + 2048]), strict=True))
+        self.base.update(zip(unseen, self._encode(unseen), strict=True))
         for w, (body, mark) in parts.items():
             self.known[w] = self.base[body] + self.marks[mark] if mark else self.base[body]
 
