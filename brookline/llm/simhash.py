@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brookline.llm.common import broken, written
@@ -286,6 +286,12 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return ordered.select("key", "tile", "role", "fp").mapInArrow(links_in_runs(radius), "a long, b long")
 
 
+def _with_roots(distinct: DataFrame, radius: int) -> DataFrame:
+    """distinct with `root`, the smallest fingerprint that links reach."""
+    roots = components(near_links(distinct, radius))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id that links reach).
 
@@ -296,8 +302,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = written(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    roots = components(near_links(distinct, radius))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _with_roots(distinct, radius)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.select("fp", broken(F.col("root").cast("string")).alias("r")).join(least.select(F.col("root").cast("string").alias("r"), "component_id"), "r").select("fp", "component_id")
     of = written(of, "fingerprint-components")
@@ -305,16 +310,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, one row of each component, all columns.
+def text_key(text_col: str) -> Column:
+    """64 bits that stand for a whole text; null and empty texts differ."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
 
-    A component of rows without ids keeps one of them. Ids on several rows leave one row.
+def first_of_each(docs: DataFrame, of: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each root, all columns. of: (raw, root), the component of each text_key.
+
+    The row with the smallest id stays, rows without an id come last, then the text's key decides. Rows that share
+    an id but are in different components don't touch each other.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    groups = written(near_duplicates(docs.select(key.alias("k"), F.col(text_col).alias("t")), "k", "t", **options), "groups")
-    stay = written(groups.filter("k = component_id").select("k").distinct(), "representatives")
-    repeated = stay.count() < groups.filter("k = component_id").count()
-    kept = docs.withColumn("__k", key).join(stay.withColumnRenamed("k", "__k"), "__k", "left_semi")
-    if repeated:
-        kept = kept.dropDuplicates(["__k"])
+    rows = docs.select(F.col(id_col).alias("i"), text_key(text_col).alias("raw"))
+    of = of.select(F.col("raw").cast("string").alias("r"), "root")
+    least = F.min(F.struct(F.col("i").isNull().alias("none"), "i", "raw")).alias("m")
+    stay = written(rows.distinct().withColumn("r", broken(F.col("raw").cast("string"))).join(of, "r").groupBy("root").agg(least).select(F.col("m.i").alias("__i"), F.col("m.raw").alias("__raw")), "representatives")
+
+    def chosen(table: DataFrame, i: str) -> DataFrame:
+        return table.join(stay, F.col(i).eqNullSafe(F.col("__i")) & (F.col("__r") == F.col("__raw")), "left_semi")
+
+    kept = chosen(docs.withColumns({"__id": F.col(id_col), "__r": text_key(text_col)}), "__id")
+    if chosen(rows.withColumnRenamed("raw", "__r"), "i").count() > stay.count():  # the same id and text on several rows
+        kept = kept.dropDuplicates(["__id", "__r"])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
+    """One row of each component of links, all columns: see first_of_each."""
+    texts = docs.select(text_key(text_col).alias("raw"), F.col(text_col).alias("t"))
+    marked = written(fingerprints(texts, "raw", "t", width, seed).distinct(), "fingerprints")
+    named = _with_roots(written(marked.select("fp").distinct(), "distinct-fingerprints"), radius)
+    of = marked.withColumn("k", broken(F.col("fp").cast("string"))).join(named.select(F.col("fp").cast("string").alias("k"), "root"), "k")
+    return first_of_each(docs, of.select(F.col("id").alias("raw"), "root"), id_col, text_col)

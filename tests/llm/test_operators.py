@@ -135,6 +135,21 @@ def test_simhash(docs, data):
     assert near_duplicates(docs.filter("doc_id < 0")).collect() == []
 
 
+def test_one_of_each_keeps_rows_without_or_with_shared_ids(spark):
+    from brookline.llm.simhash import one_of_each
+
+    rng = random.Random(21)
+    a, b, c, d = (" ".join(rng.choices(VOCABULARY, k=80)) for _ in range(4))
+    clean = [" ".join(rng.choices(VOCABULARY, k=60)) for _ in range(40)]
+    rows = [(None, t) for t in clean]  # none of them may go
+    rows += [(None, a), (5, a), (6, a.upper())]  # a real id comes before none
+    rows += [(2, b), (7, b), (7, c), (8, c), (7, c)]  # 7 stands for c's group although b's group has 2
+    rows += [(None, d), (None, d), (9, None), (10, "")]
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, t) for t in clean] + [(5, a), (2, b), (7, c), (None, d), (9, None)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 @pytest.mark.parametrize("tile", [8, 10_000])
 @pytest.mark.parametrize("radius", [3, 4])
 def test_links_of_clusters(spark, monkeypatch, tile, radius):
