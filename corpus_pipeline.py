@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from brookline.llm import decontamination, mixing, simhash, token_files, toxicity
+from brookline.llm import decontamination, mixing, near_copies, token_files, toxicity
 from brookline.llm.common import table, written
 from brookline.llm.queries import in_fold
 
@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: of documents linked by SimHash the one with the smallest doc_id stays."""
-    return simhash.one_of_each(docs)
+    """Near copies, the pipeline's form of operator 4: of documents that five-word shingles of Jaccard similarity 0.8 or more link the one with the smallest doc_id stays."""
+    return near_copies.one_of_each(docs, width=5, least=0.8)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -150,6 +150,45 @@ def test_one_of_each_keeps_rows_without_or_with_shared_ids(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("tile", [8, 1024])
+def test_near_copies(spark, monkeypatch, tile):
+    """Edited copies with similarities on both sides of 0.8, against all pairs; SimHash in 4 bits misses most of them."""
+    import corpus_pipeline
+    from brookline.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    rng = random.Random(4)
+    texts = [None, "", "one two", "One  TWO", "one three"]
+    for size in (60, 200, 400):
+        for _ in range(8):
+            base = [rng.choice(VOCABULARY) for _ in range(size)]
+            texts.append(" ".join(base))
+            for edits in (1, size // 100 + 1, size // 50, size // 40):
+                w = list(base)
+                for at in rng.sample(range(size), edits):
+                    w[at] = f"edit{rng.randrange(10**6)}"
+                texts.append(" ".join(w))
+    base = [rng.choice(VOCABULARY) for _ in range(150)]
+    texts += [" ".join([*base[:k], f"edit{k}", *base[k + 1 :]]) for k in range(30)]
+
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] | sets[j])
+            if not both or len(sets[i] & sets[j]) / both >= 0.8:
+                root = [root[j] if r == root[i] else r for r in root]
+    groups = {}
+    for k, r in enumerate(root):
+        groups.setdefault(r, []).append(k)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert got == {min(g) for g in groups.values()}
+
+
 @pytest.mark.parametrize("tile", [8, 10_000])
 @pytest.mark.parametrize("radius", [3, 4])
 def test_links_of_clusters(spark, monkeypatch, tile, radius):
