@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,10 @@ from brookline.llm.common import fresh_key, kept_in_worker
 from brookline.llm.sampling import labelled_sample
 
 WORDS = re.compile(r"[^\W\d_]+")
-#: Words of a window, and the step from one window to the next: windows overlap by a fifth, and all are scored.
-WINDOW, STEP = 40, 32
+#: Words of a window, and the step from one window to the next: windows overlap by half, and all are scored.
+WINDOW, STEP = 40, 20
+#: Longer runs of letters are several words of this many characters; each shares two with the next, so no trigram is lost.
+LONGEST = 60
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS, ATTEND = 8, 8, 8, 2048, 8
 
 
@@ -47,7 +50,7 @@ class Network:
     @staticmethod
     def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the trigrams of all words, and where each word's begin."""
-        marked = [f"<{w[:60]}>".encode() for w in words]
+        marked = [f"<{w}>".encode() for w in words]
         sizes = np.array([len(m) for m in marked])
         text = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
         value = (text[:-2] * np.uint32(2654435761) ^ text[1:-1] * np.uint32(2246822519) ^ text[2:] * np.uint32(3266489917)) * np.uint32(668265263)
@@ -138,7 +141,10 @@ def windows(n: int) -> np.ndarray:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+    found = WORDS.findall(text.lower()) if text else []
+    if found and len(max(found, key=len)) > LONGEST:
+        found = [w[a : a + LONGEST] for w in found for a in range(0, max(1, len(w) - 2), LONGEST - 2)]
+    return found
 
 
 def thin_copies(docs: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
@@ -261,31 +267,25 @@ def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Scores whole texts. They are split at white space; the projected input of each distinct piece is remembered,
-    and that memory starts afresh when it is full. A piece stands for the word in it; one without letters is
-    skipped, one with several stands for the word of the highest first coordinate (see train)."""
+    """Scores whole texts. They are split at white space; the words of each distinct piece and their projected inputs are
+    remembered, and that memory starts afresh when it is full. A piece stands for all its words, in order, as in
+    training."""
 
     def __init__(self, net: Network, most: int = 150_000):
         self.net, self.most, self.at = net, most, {}
         self.n, self.rows = 0, np.zeros((1, 6 * HIDDEN), np.float32)
 
-    def word(self, piece: str) -> str | None:
-        found = WORDS.findall(piece.lower())
-        if len(found) < 2:
-            return found[0] if found else None
-        net = self.net
-        return max(found, key=lambda w: net.p["words"][net.index.get(w, 0), 0])
-
     def learn(self, pieces: set[str]) -> None:
         new = [x for x in pieces if x not in self.at]
         if not new:
             return
-        if len(self.at) + len(new) > self.most:
-            self.at, self.n, new = {}, 0, list(pieces)
-        words = [self.word(x) for x in new]
-        fresh = sorted({w for w in words if w})
+        words = [words_of(x) for x in new]
+        fresh = sorted({w for found in words for w in found})
+        if self.at and max(len(self.at) + len(new), self.n + len(fresh)) > self.most:
+            self.at, self.n = {}, 0
+            return self.learn(pieces)
         rows = dict(zip(fresh, range(self.n, self.n + len(fresh)), strict=True))
-        self.at.update((x, rows[w] if w else -2) for x, w in zip(new, words, strict=True))
+        self.at.update((x, [rows[w] for w in found]) for x, found in zip(new, words, strict=True))
         if self.n + len(fresh) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((self.n + len(fresh), 6 * HIDDEN), np.float32)])
         for a in range(0, len(fresh), 4096):
@@ -299,15 +299,14 @@ class Scorer:
         self.learn(set().union(*split))
         get = self.at.__getitem__
         found: list[int] = []
+        offsets = [0]
         for pieces in split:
-            found += map(get, pieces)
-        flat, owner = np.array(found, np.int64), np.repeat(np.arange(len(texts)), [len(x) for x in split])
-        owner = owner[flat >= 0]
-        flat = np.r_[flat[flat >= 0], np.full(WINDOW, -1)]
-        offsets = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(texts)))]
+            found += chain.from_iterable(map(get, pieces))
+            offsets.append(len(found))
+        flat = np.r_[np.array(found, np.int64), np.full(WINDOW, -1)]
         starts, ends, owner = [], [], []
         for k in range(len(texts)):
-            s = windows(int(offsets[k + 1] - offsets[k])) + offsets[k]
+            s = windows(offsets[k + 1] - offsets[k]) + offsets[k]
             starts.append(s)
             ends.append(np.full(len(s), offsets[k + 1]))
             owner.append(np.full(len(s), k))

@@ -415,6 +415,29 @@ def test_toxicity(spark):
     assert toxicity.fit(docs, labels.filter("toxic = 0"), lambda i: F.lit(False)) is None
 
 
+def test_toxicity_sees_whole_texts():
+    """Words joined by punctuation, broken at combining marks or without spaces count as in training, all of them."""
+    from brookline.llm import toxicity
+
+    net = toxicity.Network(["vile", "calm", "हिन्दी"])
+    net.p["words"][1] += 2
+    scorer = toxicity.Scorer(net)
+    few = " ".join(["calm"] * 30 + ["vile"] + ["other"] * 30)
+    for join in ("/", "_", "-", ", ", "..."):
+        assert np.allclose(scorer.best([few.replace(" ", join)]), toxicity.Scorer(net).best([few]))
+    mixed = [few, "हिन्दी में लिखा हुआ", "a_b/c vile-calm x1y", "漢" * 200 + "字" * 50, None, ""]
+    for text, got in zip(mixed, scorer.best(mixed), strict=True):
+        words = toxicity.words_of(text)
+        at = [words[s : s + toxicity.WINDOW] for s in toxicity.windows(len(words))]
+        want = [net.forward(net.project(w)[:, None], np.ones((len(w), 1), bool))[0] for w in at]
+        assert np.isclose(got, max(want), atol=1e-4) if want else got == -np.inf
+    ends = scorer.best(["漢" * 80 + "字" * 400, "漢" * 80 + "語" * 400])
+    assert ends[0] != ends[1]
+    assert 2 * toxicity.STEP <= toxicity.WINDOW
+    small = toxicity.Scorer(net, most=5)
+    assert np.allclose(small.best(mixed[:4]), scorer.best(mixed[:4])) and np.allclose(small.best(mixed[:1]), scorer.best(mixed[:1]))
+
+
 def test_gradients():
     from brookline.llm import toxicity
 
