@@ -23,42 +23,44 @@ TILE = 2048
 SMALL = 128
 
 
+#: Shingles whose bits are unpacked at a time.
+CHUNK = 60_000
+
+
+def majorities(hashes: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each list of unsigned 64-bit hashes: bits that are set in over half of them. No hashes give zero. Bits are
+    summed in chunks, so a very long list needs no more memory than its hashes."""
+    n, sums = np.array([len(h) for h in hashes], np.int64), np.zeros((len(hashes), BITS), np.int64)
+    flat = np.concatenate([*hashes, np.zeros(0, np.uint64)]).astype("<u8")
+    owner = np.repeat(np.arange(len(n)), n)
+    for lo in range(0, len(flat), CHUNK):
+        who = owner[lo : lo + CHUNK]
+        first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+        sums[who[first]] += np.add.reduceat(_bits(flat[lo : lo + CHUNK]), first, axis=0, dtype=np.int32)
+    return np.packbits(sums * 2 > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def shingle_hashes(text: bytes | None, width: int, seed: int) -> np.ndarray:
+    """XXH64 of each run of `width` words, repeats included; fewer words are one shingle, none give none."""
+    words = text.lower().split() if text else []
+    plain, n, hash64 = b" ".join(words), len(words), xxhash.xxh64_intdigest
+    if n <= width:
+        return np.array([hash64(plain, seed)] if n else [], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[: n - width].tolist()]
+    return np.array([hash64(plain[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
 def fingerprints_of(texts: list[bytes | None], width: int, seed: int) -> np.ndarray:
     """Unsigned 64-bit fingerprints of whole texts, as int64."""
-    hash64, hashes, counts = xxhash.xxh64_intdigest, [], []
-    out = np.zeros(len(texts), np.uint64)
-
-    def close(first: int, last: int) -> None:
-        if hashes:
-            bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            n = np.array(counts)
-            full = np.flatnonzero(n)
-            sums = np.add.reduceat(bits, (np.cumsum(n) - n)[full], axis=0, dtype=np.int32)
-            out[first:last][full] = np.packbits(sums * 2 > n[full, None], axis=1, bitorder="little").view("<u8").ravel()
-        hashes.clear()
-        counts.clear()
-
-    first = 0
-    for k, text in enumerate(texts):
-        words = text.lower().split() if text else []
-        n = len(words)
-        if n:
-            plain = b" ".join(words)
-            if n <= width:
-                new = [hash64(plain, seed)]
-            else:
-                ends = np.cumsum([len(w) + 1 for w in words])
-                starts = [0, *ends[: n - width].tolist()]
-                new = [hash64(plain[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
-            hashes += new
-            counts.append(len(new))
-        else:
-            counts.append(0)
-        if len(hashes) > 60_000:
-            close(first, k + 1)
-            first = k + 1
-    close(first, len(texts))
-    return out.view(np.int64)
+    out, waiting, size = [], [], 0
+    for text in texts:
+        waiting.append(shingle_hashes(text, width, seed))
+        size += len(waiting[-1])
+        if size > CHUNK:
+            out.append(majorities(waiting))
+            waiting, size = [], 0
+    return np.concatenate([*out, majorities(waiting)] if waiting else out or [np.zeros(0, np.uint64)]).view(np.int64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
@@ -286,8 +288,8 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return ordered.select("key", "tile", "role", "fp").mapInArrow(links_in_runs(radius), "a long, b long")
 
 
-def _with_roots(distinct: DataFrame, radius: int) -> DataFrame:
-    """distinct with `root`, the smallest fingerprint that links reach."""
+def groups(distinct: DataFrame, radius: int) -> DataFrame:
+    """distinct with `root`, the smallest fingerprint that links reach. distinct: fp and more, one row for each fingerprint."""
     roots = components(near_links(distinct, radius))
     return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
@@ -297,12 +299,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts of fewer than `width` words are one shingle; texts without words (null too) have fingerprint zero
     and link like any other. Equal fingerprints are searched once, however many rows bear them. Null ids
-    take part in links but never name a component unless it has no other id; repeated ids give a row each; an
-    empty table gives no rows.
+    take part in links but never name a component unless it has no other id; repeated ids and rows give a row each; an
+    empty table gives no rows. Very long texts are taken whole, their bits summed in chunks. Extra columns are not read.
     """
     marked = written(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    named = _with_roots(distinct, radius)
+    named = groups(distinct, radius)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.select("fp", broken(F.col("root").cast("string")).alias("r")).join(least.select(F.col("root").cast("string").alias("r"), "component_id"), "r").select("fp", "component_id")
     of = written(of, "fingerprint-components")
@@ -333,12 +335,3 @@ def first_of_each(docs: DataFrame, of: DataFrame, id_col: str = "doc_id", text_c
     if chosen(rows.withColumnRenamed("raw", "__r"), "i").count() > stay.count():  # the same id and text on several rows
         kept = kept.dropDuplicates(["__id", "__r"])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
-    """One row of each component of links, all columns: see first_of_each."""
-    texts = docs.select(text_key(text_col).alias("raw"), F.col(text_col).alias("t"))
-    marked = written(fingerprints(texts, "raw", "t", width, seed).distinct(), "fingerprints")
-    named = _with_roots(written(marked.select("fp").distinct(), "distinct-fingerprints"), radius)
-    of = marked.withColumn("k", broken(F.col("fp").cast("string"))).join(named.select(F.col("fp").cast("string").alias("k"), "root"), "k")
-    return first_of_each(docs, of.select(F.col("id").alias("raw"), "root"), id_col, text_col)
