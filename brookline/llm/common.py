@@ -6,7 +6,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share: below spark.checkpoint.dir, or an own
-    temporary folder where that is unset (a single machine, as in tests)."""
+    """A folder that the driver and all executors share: below spark.checkpoint.dir, or, on a local master only, an own
+    temporary folder where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="brookline-")
         spark.conf.set("spark.checkpoint.dir", base)
     folder = f"{base.rstrip('/')}/brookline-{spark.sparkContext.applicationId}"
@@ -96,3 +100,56 @@ def kept_in_worker(key: str, make):
 
 def fresh_key() -> str:
     return uuid.uuid4().hex
+
+
+class Pieces:
+    """The numbers that a text's pieces (runs between white space) stand for, in order: none, one or several for each piece.
+
+    numbers(pieces) gives a list for each of some new pieces. They are remembered up to `most` bytes by a rough count that takes in the
+    length of the pieces; then all is forgotten, after a call of forget(), and memory fills again."""
+
+    ENTRY = 160
+
+    def __init__(self, numbers: Callable[[list[str]], Iterable[list[int]]], most: int = 24_000_000, forget: Callable[[], None] = lambda: None):
+        self.numbers, self.most, self.forget = numbers, most, forget
+        self.known: dict[str, int] = {}
+        self.others: list[list[int]] = []
+        self.size = 0
+
+    def _learn(self, pieces: set[str]) -> None:
+        new = list(pieces.difference(self.known))
+        if self.known and self.size + sum(map(len, new)) + self.ENTRY * len(new) > self.most:
+            self.known, self.others, self.size = {}, [], 0
+            self.forget()
+            new = list(pieces)
+        self.size += sum(map(len, new)) + self.ENTRY * len(new)
+        for p, found in zip(new, self.numbers(new), strict=True):
+            if len(found) == 1:
+                self.known[p] = found[0]
+            else:  # a negative number stands for a list
+                self.others.append(found)
+                self.size += 8 * len(found)
+                self.known[p] = -len(self.others)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All numbers of all texts, and how many each text has."""
+        flat, sizes = self.by_piece(texts)[:2]
+        return flat, sizes
+
+    def by_piece(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers, numbers of each text, numbers of each piece, pieces of each text."""
+        split = [t.split() if t else [] for t in texts]
+        self._learn(set().union(*split))
+        get = self.known.__getitem__
+        pieces = np.array([len(x) for x in split], np.int64)
+        ids = np.fromiter((k for x in split for k in map(get, x)), np.int64, int(pieces.sum()))
+        size = np.ones(len(ids), np.int64)
+        odd = np.flatnonzero(ids < 0)
+        if len(odd):
+            lists = [self.others[-k - 1] for k in ids[odd].tolist()]
+            size[odd] = [len(x) for x in lists]
+            ids = np.repeat(ids, size)
+            ids[ids < 0] = [k for x in lists for k in x]
+        upto = np.r_[0, np.cumsum(size)]
+        ends = np.cumsum(pieces)
+        return ids, upto[ends] - upto[ends - pieces], size, pieces

@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookline.llm.common import fresh_key, kept_in_worker
+from brookline.llm.common import Pieces, fresh_key, kept_in_worker
 
 WORDS = re.compile(r"[^\W_]+")
 #: Characters of test items that one pass over the documents searches for; more items take more passes.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 2_000_000
 #: A seed has at least so many words, and by the words' frequencies a chance below this to start at a given place.
 SEED_WORDS, RARE = 3, 1e-9
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -71,7 +71,8 @@ class Index:
                 if n >= SEED_WORDS and chance <= math.log(RARE):
                     seeds.setdefault(tuple(self.items[k][1][a : a + n].tolist()), []).append((k, a))
                     found = True
-            if not found and words:  # a short item, or one of common words alone, is its own seed
+            chance = sum(p)
+            if not found and (len(words) >= SEED_WORDS or chance <= math.log(RARE)):  # an item of common words alone, or a rare short one, is its own seed
                 seeds.setdefault(tuple(self.items[k][1].tolist()), []).append((k, 0))
         self.by_head: dict[int, list[tuple[tuple[int, ...], list[tuple[int, int]]]]] = {}
         for s, where in seeds.items():
@@ -102,11 +103,13 @@ class Index:
                 break
         return out
 
-    def matches(self, ids: np.ndarray, least: float) -> Iterator[tuple[int, float, int, int]]:
-        """(item id, score, first word, last word + 1) of each item whose best alignment reaches `least`."""
+    def matches(self, ids: np.ndarray, least: float, passage: int) -> Iterator[tuple[int, float, int, int]]:
+        """(item id, score, first word, last word + 1) of each item whose best alignment reaches `least` of a full match, or the score of
+        `passage` words that are all the same."""
         for k, starts in self.hits(ids).items():
             item_id, item = self.items[k]
             n, best = len(item), (0.0, 0, 0)
+            enough = min(least, passage / n)
             margin = max(5, n // 2)
             starts = sorted(set(starts))
             groups, last = [[starts[0], starts[0]]], starts[0]
@@ -123,48 +126,26 @@ class Index:
                 best = max(best, (score / (MATCH * n), a + s, a + e))
                 if best[0] >= 1:
                     break
-            if best[0] >= least:
+            if best[0] >= enough:
                 yield item_id, best[0], best[1], best[2]
 
 
-class Numbers:
-    """Words to numbers of an index, through a memory of pieces between white space."""
-
-    def __init__(self, number: dict[str, int], most: int = 200_000):
-        self.number, self.most, self.known = number, most, {}
-        self.several: list[list[int]] = []
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        pieces = text.split() if text else []
-        known, get = self.known, self.number.get
-        new = set(pieces).difference(known)
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                self.several.clear()
-                new = set(pieces)
-            for p in new:
-                found = WORDS.findall(p.lower())
-                if len(found) == 1:
-                    known[p] = get(found[0], 0)
-                else:  # no word or several: a negative number stands for the list
-                    self.several.append([get(w, 0) for w in found])
-                    known[p] = -len(self.several)
-        ids = np.array(list(map(known.__getitem__, pieces)), np.int64)
-        odd = np.flatnonzero(ids < 0)
-        if len(odd):
-            lists = [self.several[-k - 1] for k in ids[odd].tolist()]
-            size = np.ones(len(ids), np.int64)
-            size[odd] = [len(x) for x in lists]
-            out = np.repeat(ids, size)
-            out[out < 0] = [w for x in lists for w in x]
-            return out
-        return ids
+def numbers(number: dict[str, int]) -> Pieces:
+    """Words to numbers of an index, 0 for words that it lacks."""
+    get = number.get
+    return Pieces(lambda pieces: [[get(w, 0) for w in WORDS.findall(p.lower())] for p in pieces])
+
+
+def _words(to: Pieces, texts: pa.Array) -> Iterator[np.ndarray]:
+    """The word numbers of each text, some texts at a time."""
+    for a in range(0, len(texts), 128):
+        flat, sizes = to(texts.slice(a, 128).to_pylist())
+        yield from np.split(flat, np.cumsum(sizes)[:-1])
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, list[str]]]]:
-    """Items with at least one word, in blocks of bounded size. Repeated rows of an item are one item."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).dropna().distinct()
+    """Items with at least one word, in blocks of bounded size. Repeated rows of an item are one item; items without an id count by their text."""
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter("t is not null").distinct()
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, math.ceil(chars / BLOCK_CHARS))
     for k in range(n):
@@ -182,10 +163,10 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
         key = fresh_key()
 
         def count(batches: Iterator[pa.RecordBatch], number: dict[str, int] = number, key: str = key) -> Iterator[pa.RecordBatch]:
-            to, n = kept_in_worker(key, lambda: Numbers(number)), np.zeros(len(number) + 1, np.int64)
+            to, n = kept_in_worker(key, lambda: numbers(number)), np.zeros(len(number) + 1, np.int64)
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    n += np.bincount(to(text), minlength=len(n))
+                for a in range(0, batch.num_rows, 128):
+                    n += np.bincount(to(batch.column(0).slice(a, 128).to_pylist())[0], minlength=len(n))
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n[used], pa.int64())], ["k", "n"])
 
@@ -195,23 +176,25 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = 0.5) -> DataFrame:
-    """One row per document and test item whose alignment reaches `least` of a full match: id, item_id, score,
-    first_word, last_word.
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = 0.5, passage: int = 50) -> DataFrame:
+    """One row per document and test item whose alignment reaches `least` of a full match: id, item_id, score (of a full
+    match), first_word, last_word. Of a long item the score of `passage` equal words is enough.
 
     Word frequencies are counted over all documents (only words of the items are kept, so what reaches the
     driver is bounded by a block of items). At each word of an item the shortest run of three or more words whose chance
     by these frequencies is below one in 10^9 is a seed. Documents are read once per block of items and never shuffled, so a passage
-    that a third of them share costs no hot key. Null and empty texts match nothing; items without a word are
-    left out; repeated rows each get their rows; no items give no rows.
+    that a third of them share costs no hot key. Items of one or two words count only if they are as rare as a seed
+    as a whole; items of three words and more that are common throughout match as a whole alone. Null and empty texts match nothing; items without a word are
+    left out, items without an id are searched like others and give a null item_id; repeated rows each get their rows; no items give no rows.
+    Very long texts are aligned only around their seeds. Extra columns are not read.
     """
     out = None
     for index in _indexes(docs, benchmark, text_col, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            to = kept_in_worker(index.key, lambda: Numbers(index.number))
+            to = kept_in_worker(index.key, lambda: numbers(index.number))
             for batch in batches:
-                found = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in index.matches(to(t), least)]
+                found = [(i, *m) for i, words in zip(batch.column(0).to_pylist(), _words(to, batch.column(1)), strict=True) for m in index.matches(words, least, passage)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()], strict=True)], ["id", "item_id", "score", "first_word", "last_word"])
 
@@ -222,15 +205,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.withColumnRenamed("id", id_col)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = 0.5, passage: int = 50) -> DataFrame:
     """The rows of docs that hold no test item, with all their columns. One pass per block of items; no shuffle."""
     schema, at = docs.schema, docs.columns.index(text_col)
     for index in _indexes(docs, benchmark, text_col, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            to = kept_in_worker(index.key, lambda: Numbers(index.number))
+            to = kept_in_worker(index.key, lambda: numbers(index.number))
             for batch in batches:
-                clean = [next(index.matches(to(t), least), None) is None for t in batch.column(at).to_pylist()]
+                clean = [next(index.matches(words, least, passage), None) is None for words in _words(to, batch.column(at))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -12,11 +11,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 
-from brookline.llm.common import fresh_key, kept_in_worker
+from brookline.llm.common import Pieces, fresh_key, kept_in_worker
 from brookline.llm.sampling import labelled_sample
 
 LETTERS = regex.compile(r"\p{L}+")
-PIECE = re.compile(r"\S+")
 #: First code point of each range and its script; fixed values of the Unicode block list. None: no script of its own.
 SCRIPTS = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, None), (0x0750, "Arabic"), (0x0780, None),
@@ -29,6 +27,8 @@ SCRIPTS = [
 ]
 _STARTS = [a for a, _ in SCRIPTS]
 ROWS = 1 << 16
+#: Letters of a step of the path at most; longer runs of letters are several steps.
+LONGEST = 40
 UNKNOWN = "und"
 
 
@@ -37,9 +37,34 @@ def script_of(word: str) -> str | None:
     return SCRIPTS[bisect_right(_STARTS, ord(word[0])) - 1][1]
 
 
+def steps_of(text: str) -> list[tuple[int, int]]:
+    """First and last + 1 place of each step: runs of letters of one script, cut into LONGEST letters. Letters without a script of
+    their own go with those before them."""
+    out = []
+    for m in LETTERS.finditer(text):
+        a, z = m.span()
+        if z - a <= LONGEST and m[0].isascii():
+            out.append((a, z))
+            continue
+        cuts, now = [a], None
+        for k in range(a, z):
+            script = script_of(text[k]) or now
+            if now not in (None, script):
+                cuts.append(k)
+            now = script
+        for lo, hi in zip(cuts, [*cuts[1:], z], strict=True):
+            out += [(k, min(hi, k + LONGEST)) for k in range(lo, hi, LONGEST)]
+    return out
+
+
+def words_of(text: str) -> list[str]:
+    """The steps' letters in lower case."""
+    return [text[a:z].lower() for a, z in steps_of(text)]
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of all words, and where each word's begin: its trigrams between boundary marks, and itself."""
-    marked = [f"<{w[:80]}>".encode() for w in words]
+    marked = [f"<{w}>".encode() for w in words]
     sizes = np.array([len(m) for m in marked])
     text = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
     value = (text[:-2] * np.uint32(2654435761) ^ text[1:-1] * np.uint32(2246822519) ^ text[2:] * np.uint32(3266489917)) * np.uint32(668265263)
@@ -64,7 +89,7 @@ class Model:
         counts = np.full((ROWS, len(self.langs)), smooth)
         letters: dict[str | None, Counter] = {}
         for k, lang in enumerate(self.langs):
-            words = Counter(w for t, y in rows if y == lang for w in LETTERS.findall(t.lower()))
+            words = Counter(w for t, y in rows if y == lang for w in words_of(t))
             if not words:
                 continue
             feature, first = grams(list(words))
@@ -131,45 +156,42 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
 
 
 class Labeller:
-    def __init__(self, model: Model, penalty: float, most: int = 200_000):
-        self.model, self.penalty, self.most = model, penalty, most
-        self.at: dict[str, int] = {}
-        self.rows = np.zeros((0, len(model.langs)), np.float32)
-        self.weight = np.zeros(0, np.int64)
-
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.at]
-        if not new:
-            return
-        found = [" ".join(LETTERS.findall(p.lower())) for p in new]
-        self.at.update((p, -1) for p, f in zip(new, found, strict=True) if not f)
-        new, found = [p for p, f in zip(new, found, strict=True) if f], [f for f in found if f]
-        if not new:
-            return
-        n = len(self.rows)
-        self.at.update(zip(new, range(n, n + len(new)), strict=True))
-        self.rows = np.concatenate([self.rows, *(self.model.word_scores(found[a : a + 8192]) for a in range(0, len(found), 8192))])
-        self.weight = np.r_[self.weight, [len(f) for f in found]]
+    """Labels of whole texts. Each step of a text (see steps_of) has its scores in a row of a table, remembered by the piece between
+    white space that it stands in."""
+
+    def __init__(self, model: Model, penalty: float):
+        self.model, self.penalty = model, penalty
+        self.pieces = Pieces(self._learn, forget=self._forget)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.n, self.rows, self.weight = 0, np.zeros((1, len(self.model.langs)), np.float32), np.zeros(1, np.int64)
+
+    def _learn(self, pieces: list[str]) -> list[list[int]]:
+        words = [words_of(p) for p in pieces]
+        fresh = sorted({w for found in words for w in found})
+        if self.n + len(fresh) > len(self.rows):
+            more = self.n // 2 + len(fresh)
+            self.rows, self.weight = np.concatenate([self.rows, np.zeros((more, self.rows.shape[1]), np.float32)]), np.r_[self.weight, np.zeros(more, np.int64)]
+        for a in range(0, len(fresh), 8192):
+            some = fresh[a : a + 8192]
+            self.rows[self.n + a : self.n + a + len(some)] = self.model.word_scores(some)
+            self.weight[self.n + a : self.n + a + len(some)] = [len(w) for w in some]
+        at = dict(zip(fresh, range(self.n, self.n + len(fresh)), strict=True))
+        self.n += len(fresh)
+        return [[at[w] for w in found] for found in words]
+
+    def _rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, sizes = self.pieces(texts)
+        return self.rows[ids], self.weight[ids], sizes
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[str, float, list[dict]]]:
         """(language, score, spans) of each text."""
-        if len(self.at) > self.most:
-            self.at, self.rows, self.weight = {}, self.rows[:0], self.weight[:0]
-        flat, sizes, pieces_of = [], [], []
-        for a in range(0, len(texts), 128):
-            split = [t.split() if t else [] for t in texts[a : a + 128]]
-            self.learn(set().union(*split))
-            get = self.at.__getitem__
-            for pieces in split:
-                ids = np.fromiter(map(get, pieces), np.int32, len(pieces))
-                used = ids >= 0
-                flat.append(ids[used])
-                sizes.append(int(used.sum()))
-                pieces_of.append(None if used.all() else np.flatnonzero(used))
-        ids, sizes = np.concatenate(flat), np.array(sizes)
-        scores, langs = self.rows[ids], self.model.langs
+        parts = [self._rows(texts[a : a + 128]) for a in range(0, len(texts), 128)]
+        scores, weight, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        langs = self.model.langs
         labels = viterbi(scores, sizes, self.penalty)
-        owner, weight = np.repeat(np.arange(len(texts)), sizes), self.weight[ids]
+        owner = np.repeat(np.arange(len(texts)), sizes)
         share = np.zeros((len(texts), len(langs)))
         np.add.at(share, (owner, labels), weight)
         total = np.zeros((len(texts), len(langs)))
@@ -190,15 +212,14 @@ class Labeller:
             if not len(change):
                 spans = [{"start": 0, "end": len(text), "lang": langs[own[0]]}]
             else:
-                starts = [m.start() for m in PIECE.finditer(text)]
-                used = pieces_of[k] if pieces_of[k] is not None else range(len(starts))
-                cuts = [0, *(starts[used[c]] for c in change), len(text)]
+                steps = steps_of(text)
+                cuts = [0, *(steps[c][0] for c in change), len(text)]
                 spans = [{"start": a, "end": b, "lang": langs[own[c]]} for a, b, c in zip(cuts[:-1], cuts[1:], [0, *change], strict=True)]
             yield langs[best[k]], float(np.clip(where * sure, 0, 1)), spans
 
 
 def fit(docs: DataFrame, held_out: Callable[[Column], Column], per_class: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Learn from a bounded sample: about per_class texts of each language."""
+    """Learn from a bounded sample: about per_class texts of each language, 6 million characters of each (see sampling)."""
     rows = labelled_sample(docs, docs, per_class, id_col, text_col, lang_col, held_out)
     return Model(rows) if rows else None
 
@@ -206,8 +227,10 @@ def fit(docs: DataFrame, held_out: Callable[[Column], Column], per_class: int =
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0) -> DataFrame:
     """id, lang_pred, score, spans (start, end, lang: character positions) of every whole text.
 
-    Null text and text without a letter give "und", score 0 and no spans; so does every text if nothing was learned. Ties
-    go to the language that sorts first. Repeated rows each get a row; extra columns are ignored.
+    A step of the path is a run of letters of one script, at most 40; so words joined by dashes or slashes, and scripts
+    without spaces, are judged letter by letter to their end. Null text and text without a letter give "und", score 0 and no spans; so does every
+    text if nothing was learned. Ties go to the language that sorts first. Repeated rows each get a row; an empty table gives none; very long texts
+    are taken whole; extra columns are ignored.
     """
     from pyspark.sql import functions as F
 
@@ -217,8 +240,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = kept_in_worker(f"{model.key}{penalty}", lambda: Labeller(model, penalty)) if model else None
         for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                piece = batch.slice(a, 4096)
+            for a in range(0, batch.num_rows, 2048):
+                piece = batch.slice(a, 2048)
                 texts = piece.column(1).to_pylist()
                 lang, score, found = zip(*(label(texts) if label else [(UNKNOWN, 0.0, [])] * len(texts)), strict=True)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(lang), pa.array(score), pa.array(found, kind)], ["id", "lang_pred", "score", "spans"])

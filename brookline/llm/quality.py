@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookline.llm.common import kept_in_worker
+from brookline.llm.common import Pieces, kept_in_worker
 from brookline.llm.sampling import labelled_sample
 
 ROWS = 1 << 17
@@ -19,8 +19,8 @@ _RUNS = re.compile(r"([^\W\d_]+)|(\d+)")
 
 
 def _shape(piece: str) -> str:
-    """Letters as a (A with a leading capital), digits as 0, all else kept; at most eight characters of what is left."""
-    return _RUNS.sub(lambda m: "0" if m[2] else "A" if m[1][0].isupper() else "a", piece)[:8]
+    """Runs of letters as a (A with a leading capital), of digits as 0; all else is kept."""
+    return _RUNS.sub(lambda m: "0" if m[2] else "A" if m[1][0].isupper() else "a", piece)
 
 
 def _row(kind: str, text: str) -> int:
@@ -31,34 +31,24 @@ class Features:
     """Hashed features of whole texts: words, shapes of pieces, pairs of shapes, line statistics. Counts enter
     as 1 + log, each of the four kinds is scaled to length 1."""
 
-    def __init__(self, most: int = 200_000):
-        self.most, self.known = most, {}
-
-    def _piece(self, p: str) -> tuple[int, int]:
-        return _row("w", p.lower().strip(".,;:!?")[:40]), _row("s", _shape(p))
+    def __init__(self):
+        self.pieces = Pieces(lambda new: [[_row("w", p.lower().strip(".,;:!?")) * ROWS + _row("s", _shape(p))] for p in new])
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of the texts, features and values, sorted by row."""
-        split = [t.split() if t else [] for t in texts]
-        every = set().union(*split) if split else set()
-        if len(self.known) + len(every) > self.most:
-            self.known = {}
-        for p in every.difference(self.known):
-            self.known[p] = self._piece(p)
-        get, pairs = self.known.__getitem__, []
-        for pieces in split:
-            pairs += map(get, pieces)
-        both = np.array(pairs, np.int64).reshape(-1, 2)
-        owner = np.repeat(np.arange(len(texts)), [len(x) for x in split])
+        found, n_words = self.pieces(texts)
+        both = np.stack([found // ROWS, found % ROWS], axis=1)
+        owner = np.repeat(np.arange(len(texts)), n_words)
         same = owner[1:] == owner[:-1]
         double = ((both[:-1, 1] * 31 + both[1:, 1] * 17 + 7) % ROWS)[same]
+        at = np.r_[0, np.cumsum(n_words)]
         line_owner, line_row = [], []
         for k, t in enumerate(texts):
             lines = (t or "").split("\n")
             sizes = [len(x) for x in lines]
             repeated = len(lines) - len(set(lines))
-            words = split[k]
-            facts = [f"n{int(np.log2(len(words) + 1))}", f"l{int(np.log2(len(lines)))}", f"r{round(8 * repeated / len(lines))}", f"m{int(np.log2(max(sizes) + 1))}", f"u{round(8 * len(set(words)) / max(1, len(words)))}"]
+            words = found[at[k] : at[k + 1]]
+            facts = [f"n{int(np.log2(len(words) + 1))}", f"l{int(np.log2(len(lines)))}", f"r{round(8 * repeated / len(lines))}", f"m{int(np.log2(max(sizes) + 1))}", f"u{round(8 * len(np.unique(words)) / max(1, len(words)))}"]
             line_row += [_row("f", f) for f in facts]
             line_owner += [k] * len(facts)
         kinds = [(owner, both[:, 0]), (owner, both[:, 1]), (owner[1:][same], double), (np.array(line_owner, np.int64), np.array(line_row, np.int64))]
@@ -159,9 +149,11 @@ def grade(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text_c
                     expected = tail = pa.nulls(n, pa.float64())
                 else:
                     up = model.above(model.eta(piece.column(1).to_pylist(), features))
-                    at = next(k for k, g in enumerate(model.grades) if g >= (model.grades[-1] if tail_from is None else tail_from))
+                    # P(grade > last) is 0, P(grade > one before the first) is 1.
+                    full = np.concatenate([np.ones((n, 1)), up, np.zeros((n, 1))], axis=1)
+                    at = np.searchsorted(model.grades, model.grades[-1] if tail_from is None else tail_from)
                     expected = pa.array(model.grades[0] + up @ np.diff(model.grades), pa.float64())
-                    tail = pa.array(up[:, at - 1] if at else np.ones(n), pa.float64())
+                    tail = pa.array(full[:, at], pa.float64())
                 yield pa.RecordBatch.from_arrays([piece.column(0), expected, tail], ["id", "expected_grade", "tail_probability"])
 
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, expected_grade double, tail_probability double")

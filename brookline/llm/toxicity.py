@@ -6,14 +6,13 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookline.llm.common import fresh_key, kept_in_worker
+from brookline.llm.common import Pieces, fresh_key, kept_in_worker
 from brookline.llm.sampling import labelled_sample
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -267,53 +266,44 @@ def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Scores whole texts. They are split at white space; the words of each distinct piece and their projected inputs are
-    remembered, and that memory starts afresh when it is full. A piece stands for all its words, in order, as in
-    training."""
-
-    def __init__(self, net: Network, most: int = 150_000):
-        self.net, self.most, self.at = net, most, {}
-        self.n, self.rows = 0, np.zeros((1, 6 * HIDDEN), np.float32)
-
-    def learn(self, pieces: set[str]) -> None:
-        new = [x for x in pieces if x not in self.at]
-        if not new:
-            return
-        words = [words_of(x) for x in new]
+    """Scores whole texts. A piece between white space stands for all its words, in order, as in training; their
+    projected inputs are remembered as rows of a table."""
+
+    def __init__(self, net: Network, most: int = 48_000_000):
+        self.net, self.n, self.rows = net, 0, np.zeros((1, 6 * HIDDEN), np.float32)
+        self.pieces = Pieces(self._learn, most, self._forget)
+        self.pieces.ENTRY += self.rows.nbytes  # a row for each, or nearly so
+
+    def _forget(self) -> None:
+        self.n, self.rows = 0, self.rows[:1].copy()
+
+    def _learn(self, pieces: list[str]) -> list[list[int]]:
+        words = [words_of(x) for x in pieces]
         fresh = sorted({w for found in words for w in found})
-        if self.at and max(len(self.at) + len(new), self.n + len(fresh)) > self.most:
-            self.at, self.n = {}, 0
-            return self.learn(pieces)
-        rows = dict(zip(fresh, range(self.n, self.n + len(fresh)), strict=True))
-        self.at.update((x, [rows[w] for w in found]) for x, found in zip(new, words, strict=True))
         if self.n + len(fresh) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((self.n + len(fresh), 6 * HIDDEN), np.float32)])
+            self.rows = np.concatenate([self.rows, np.zeros((self.n // 2 + len(fresh), 6 * HIDDEN), np.float32)])
         for a in range(0, len(fresh), 4096):
             self.rows[self.n + a : self.n + a + len(fresh[a : a + 4096])] = self.net.project(fresh[a : a + 4096])
+        at = dict(zip(fresh, range(self.n, self.n + len(fresh)), strict=True))
         self.n += len(fresh)
+        return [[at[w] for w in found] for found in words]
 
     def best(self, texts: list[str | None]) -> np.ndarray:
         """The strongest window's logit of each text; -inf for texts without words."""
         out = np.full(len(texts), -np.inf)
-        split = [t.split() if t else [] for t in texts]
-        self.learn(set().union(*split))
-        get = self.at.__getitem__
-        found: list[int] = []
-        offsets = [0]
-        for pieces in split:
-            found += chain.from_iterable(map(get, pieces))
-            offsets.append(len(found))
-        flat = np.r_[np.array(found, np.int64), np.full(WINDOW, -1)]
+        found, sizes = self.pieces(texts)
+        offsets = np.r_[0, np.cumsum(sizes)]
+        flat = np.r_[found, np.full(WINDOW, -1)]
         starts, ends, owner = [], [], []
         for k in range(len(texts)):
-            s = windows(offsets[k + 1] - offsets[k]) + offsets[k]
+            s = windows(sizes[k]) + offsets[k]
             starts.append(s)
             ends.append(np.full(len(s), offsets[k + 1]))
             owner.append(np.full(len(s), k))
         starts, ends, owner = np.concatenate(starts), np.concatenate(ends), np.concatenate(owner)
         for a in range(0, len(starts), 2048):
             at = starts[a : a + 2048, None] + np.arange(WINDOW)
-            idx = np.where(at < ends[a : a + 2048, None], flat[at.clip(max=len(flat) - 1)], -1)
+            idx = np.where(at < ends[a : a + 2048, None], flat[at], -1)
             np.maximum.at(out, owner[a : a + 2048], self.net.forward(*_gather(self.rows, idx)))
         return out
 

@@ -136,7 +136,7 @@ def test_simhash(docs, data):
 
 
 def test_one_of_each_keeps_rows_without_or_with_shared_ids(spark):
-    from brookline.llm.simhash import one_of_each
+    from brookline.llm.near_copies import one_of_each
 
     rng = random.Random(21)
     a, b, c, d = (" ".join(rng.choices(VOCABULARY, k=80)) for _ in range(4))
@@ -150,6 +150,25 @@ def test_one_of_each_keeps_rows_without_or_with_shared_ids(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def jaccard_representatives(texts):
+    """The first text of each group that five-word shingles of Jaccard 0.8 or more link, all pairs compared."""
+
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] | sets[j])
+            if not both or len(sets[i] & sets[j]) / both >= 0.8:
+                root = [root[j] if r == root[i] else r for r in root]
+    groups = {}
+    for k, r in enumerate(root):
+        groups.setdefault(r, []).append(k)
+    return {min(g) for g in groups.values()}
+
+
 @pytest.mark.parametrize("tile", [8, 1024])
 def test_near_copies(spark, monkeypatch, tile):
     """Edited copies with similarities on both sides of 0.8, against all pairs; SimHash in 4 bits misses most of them."""
@@ -171,22 +190,10 @@ def test_near_copies(spark, monkeypatch, tile):
     base = [rng.choice(VOCABULARY) for _ in range(150)]
     texts += [" ".join([*base[:k], f"edit{k}", *base[k + 1 :]]) for k in range(30)]
 
-    def grams(t):
-        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
-        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-
-    sets, root = [grams(t) for t in texts], list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            both = len(sets[i] | sets[j])
-            if not both or len(sets[i] & sets[j]) / both >= 0.8:
-                root = [root[j] if r == root[i] else r for r in root]
-    groups = {}
-    for k, r in enumerate(root):
-        groups.setdefault(r, []).append(k)
+    want = jaccard_representatives(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
-    assert got == {min(g) for g in groups.values()}
+    assert got == want
 
 
 @pytest.mark.parametrize("tile", [8, 10_000])
@@ -304,7 +311,7 @@ def test_encoder_equals_the_library():
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = ["It's a DOG's, life.  \r\n\ttab", "ÉTÉ été, été. ΟΔΟΣ, x y z", "<|endoftext|> a<|startoftext|>b, 12.5.", "don't, we'll.", "İstanbul, ǅ.", ",. .,", "日本語、テスト.", "a\x0bb\x0cc"]
-    e = Encoder(public_tokenizers.path("word_bpe_49k.json"), most=5, most_bases=5)
+    e = Encoder(public_tokenizers.path("word_bpe_49k.json"), most=700, most_bases=700)
     for _ in range(2):
         for x, ids in zip(texts, e(texts, 1), strict=True):
             assert ids.tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], x
@@ -434,7 +441,7 @@ def test_toxicity_sees_whole_texts():
     ends = scorer.best(["漢" * 80 + "字" * 400, "漢" * 80 + "語" * 400])
     assert ends[0] != ends[1]
     assert 2 * toxicity.STEP <= toxicity.WINDOW
-    small = toxicity.Scorer(net, most=5)
+    small = toxicity.Scorer(net, most=500)
     assert np.allclose(small.best(mixed[:4]), scorer.best(mixed[:4])) and np.allclose(small.best(mixed[:1]), scorer.best(mixed[:1]))
 
 

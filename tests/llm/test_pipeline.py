@@ -25,7 +25,7 @@ def test_exact_sql(spark):
 
 
 def test_stages(spark):
-    from tests.llm.test_operators import brute_fingerprint, classes
+    from tests.llm.test_operators import jaccard_representatives
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
@@ -34,9 +34,8 @@ def test_stages(spark):
     some = kept.limit(150).cache()
     one = corpus_pipeline.drop_near_duplicates(spark, some, SF)
     rows = sorted((r["doc_id"], r["text"]) for r in some.collect())
-    roots = classes([brute_fingerprint(t) for _, t in rows], 4)
     assert one.columns == columns
-    assert {r["doc_id"] for r in one.collect()} == {rows[k][0] for k, r in enumerate(roots) if k == r}
+    assert {r["doc_id"] for r in one.collect()} == {rows[k][0] for k in jaccard_representatives([t for _, t in rows])}
     twice = some.unionByName(some)
     assert corpus_pipeline.drop_near_duplicates(spark, twice, SF).count() == one.count()
     clean = corpus_pipeline.drop_benchmark_leaks(spark, some, SF)
