@@ -233,8 +233,60 @@ def is_number(t: T.DataType) -> bool:
     return isinstance(t, NUMERIC)
 
 
+VARIANT = T.VariantType()
+
+
+def is_open(v: Value) -> bool:
+    """Whether the type is known only from value to value."""
+    return isinstance(v.t, T.VariantType)
+
+
+def _kind(c: Column) -> Column:
+    """The type name of a variant, without what is inside it."""
+    return F.regexp_extract(F.schema_of_variant(c), r"^[A-Z]+", 0)
+
+
+def part(c: Column, path: str) -> Value:
+    """A part of a variant; null where it is absent, and where it is null in the JSON text."""
+    found = F.try_variant_get(c, path, "variant")
+    return Value(F.when(~F.is_variant_null(found), found), VARIANT)
+
+
+def array_of(v: Value) -> Value:
+    """A variant as an array of variants where it is an array; other values as they are."""
+    return Value(F.try_variant_get(v.c, "$", "array<variant>"), T.ArrayType(VARIANT)) if is_open(v) else v
+
+
+def object_of(v: Value) -> Value:
+    return Value(F.try_variant_get(v.c, "$", "map<string, variant>"), T.MapType(T.StringType(), VARIANT)) if is_open(v) else v
+
+
+def number_of(v: Value) -> Column:
+    """The number that a value is (not a text of one) as a double, else null."""
+    if is_open(v):
+        return F.when(_kind(v.c).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "TINYINT", "SMALLINT", "INT"), F.try_variant_get(v.c, "$", "double"))
+    return v.c.cast("double") if is_number(v.t) else F.lit(None).cast("double")
+
+
+def string_of(v: Value) -> Column:
+    """The string that a value is, else null."""
+    if is_open(v):
+        return F.when(_kind(v.c) == "STRING", F.try_variant_get(v.c, "$", "string"))
+    return v.c if isinstance(v.t, T.StringType) else F.lit(None).cast("string")
+
+
+def boolean_of(v: Value) -> Column:
+    if is_open(v):
+        return F.when(_kind(v.c) == "BOOLEAN", F.try_variant_get(v.c, "$", "boolean"))
+    return v.c if isinstance(v.t, T.BooleanType) else F.lit(None).cast("boolean")
+
+
 def truthy(v: Value) -> Column:
     """JMESPath truth: null, false, empty strings, arrays and objects are false."""
+    if is_open(v):
+        kind = _kind(v.c)
+        some = F.when(kind == "BOOLEAN", boolean_of(v)).when(kind == "STRING", string_of(v) != "").when(kind == "ARRAY", F.size(array_of(v).c) > 0).when(kind == "OBJECT", F.size(object_of(v).c) > 0).otherwise(v.c.isNotNull())
+        return F.coalesce(some, F.lit(False))
     if isinstance(v.t, T.BooleanType):
         return F.coalesce(v.c, F.lit(False))
     if isinstance(v.t, T.StringType):
@@ -288,19 +340,21 @@ class Compiler:
             return Value(at.c.getField(name), at.t[name].dataType)
         if isinstance(at.t, T.MapType):
             return Value(F.try_element_at(at.c, F.lit(name)), at.t.valueType)
-        return _null()
+        if is_open(at) and "'" not in name:
+            return part(at.c, f"$['{name}']")
+        return self._field(object_of(at), name) if is_open(at) else _null()
 
     def _sub(self, at, left, right) -> Value:
         return self.compile(right, self.compile(left, at))
 
     def _index(self, at, left, k) -> Value:
-        v = self.compile(left, at)
+        v = array_of(self.compile(left, at))
         if not isinstance(v.t, T.ArrayType):
             return _null()
         return Value(F.try_element_at(v.c, F.lit(k + 1 if k >= 0 else k)), v.t.elementType)
 
     def _slice(self, at, left, a, b, step) -> Value:
-        v = self.compile(left, at)
+        v = array_of(self.compile(left, at))
         if not isinstance(v.t, T.ArrayType):
             return _null()
         step = 1 if step is None else step
@@ -324,7 +378,7 @@ class Compiler:
         return Value(F.when(v.c.isNotNull(), F.coalesce(F.transform(places, lambda i: F.get(v.c, i)), none)), v.t)
 
     def _project(self, at, left, right) -> Value:
-        v = self.compile(left, at)
+        v = array_of(self.compile(left, at))
         if not isinstance(v.t, T.ArrayType):
             return _null()
         kind: list[T.DataType] = []
@@ -339,7 +393,7 @@ class Compiler:
         return Value(F.filter(c, lambda x: x.isNotNull()), T.ArrayType(t))
 
     def _values(self, at, left, right) -> Value:
-        v = self.compile(left, at)
+        v = object_of(self.compile(left, at))
         if isinstance(v.t, T.MapType):
             items = Value(F.map_values(v.c), T.ArrayType(v.t.valueType))
         elif isinstance(v.t, T.StructType) and v.t.fields:
@@ -349,15 +403,18 @@ class Compiler:
         return self._project(items, Node("current"), right)
 
     def _flatten(self, at, left) -> Value:
-        v = self.compile(left, at)
+        v = array_of(self.compile(left, at))
         if not isinstance(v.t, T.ArrayType):
             return _null()
+        if isinstance(v.t.elementType, T.VariantType):  # elements that are no arrays stay
+            inner = F.transform(F.filter(v.c, lambda x: x.isNotNull()), lambda x: F.coalesce(array_of(Value(x, VARIANT)).c, F.array(x)))
+            return Value(F.flatten(inner), v.t)
         if isinstance(v.t.elementType, T.ArrayType):
             return Value(F.flatten(F.filter(v.c, lambda x: x.isNotNull())), v.t.elementType)
         return v
 
     def _filter(self, at, left, condition) -> Value:
-        v = self.compile(left, at)
+        v = array_of(self.compile(left, at))
         if not isinstance(v.t, T.ArrayType):
             return _null()
         return Value(F.filter(v.c, lambda x: truthy(self.compile(condition, Value(x, v.t.elementType)))), v.t)
@@ -410,6 +467,8 @@ class Compiler:
     def _compare(self, at, op, left, right) -> Value:
         a, b = self.compile(left, at), self.compile(right, at)
         boolean = T.BooleanType()
+        if is_open(a) or is_open(b):
+            return Value(self._compare_open(op, a, b), boolean)
         if op in ("==", "!="):
             if isinstance(a.t, T.NullType) or isinstance(b.t, T.NullType):
                 same = (a if isinstance(b.t, T.NullType) else b).c.isNull()
@@ -425,13 +484,24 @@ class Compiler:
         x, y = a.c.cast("double"), b.c.cast("double")
         return Value({"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op], boolean)
 
+    def _compare_open(self, op: str, a: Value, b: Value) -> Column:
+        x, y = number_of(a), number_of(b)
+        if op not in ("==", "!="):
+            return {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
+        if isinstance(a.t, T.NullType) or isinstance(b.t, T.NullType):
+            same = (a if isinstance(b.t, T.NullType) else b).c.isNull()
+        else:  # numbers by value, all else by kind and JSON text
+            same = F.when(a.c.isNull() | b.c.isNull(), a.c.isNull() & b.c.isNull()).when(x.isNotNull() | y.isNotNull(), F.coalesce(x == y, F.lit(False)))
+            same = same.otherwise(string_of(a).isNull().eqNullSafe(string_of(b).isNull()) & (text(a) == text(b)))
+        return same if op == "==" else ~same
+
     def _reference(self, at, node) -> Value:
         raise PathError("an expression reference stands only in a function's arguments")
 
     def _call(self, at, name, *args) -> Value:
         if name in ("map", "sort_by", "max_by", "min_by"):
             ref, over = (args[0], args[1]) if name == "map" else (args[1], args[0])
-            v, ref = self.compile(over, at), ref.args[0]
+            v, ref = array_of(self.compile(over, at)), ref.args[0]
             if not isinstance(v.t, T.ArrayType):
                 return _null()
             if name == "map":
@@ -452,7 +522,27 @@ class Compiler:
         v = [self.compile(a, at) for a in args]
         d, s, b = T.DoubleType(), T.StringType(), T.BooleanType()
         x = v[0] if v else _null()
+        if is_open(x):
+            if name == "length":
+                return Value(F.coalesce(F.char_length(string_of(x)), F.size(array_of(x).c), F.size(object_of(x).c)).cast("long"), T.LongType())
+            if name == "type":
+                kind = F.when(string_of(x).isNotNull(), "string").when(number_of(x).isNotNull(), "number").when(boolean_of(x).isNotNull(), "boolean").when(_kind(x.c) == "ARRAY", "array").otherwise("object")
+                return Value(F.when(x.c.isNull(), "null").otherwise(kind), s)
+            if name == "to_number":
+                return Value(F.coalesce(number_of(x), string_of(x).try_cast("double")), d)
+            if name == "contains":
+                return Value(F.coalesce(F.contains(string_of(x), text(v[1])), F.exists(array_of(x).c, lambda y: self._compare_open("==", Value(y, VARIANT), v[1]))), b)
+            if name in ("starts_with", "ends_with"):
+                x = Value(string_of(x), s)
+            elif name in ("abs", "ceil", "floor"):
+                x = Value(number_of(x), d)
+            elif name in ("keys", "values", "merge"):
+                x = object_of(x)
+            elif name not in ("to_string", "not_null", "to_array", "join"):
+                x = array_of(x)
         arr = isinstance(x.t, T.ArrayType)
+        if arr and isinstance(x.t.elementType, T.VariantType) and name in ("sum", "avg", "max", "min", "sort"):
+            x = Value(F.filter(F.transform(x.c, lambda y: number_of(Value(y, VARIANT))), lambda y: y.isNotNull()), T.ArrayType(d))
         if name in ("abs", "ceil", "floor"):
             return Value(getattr(F, name)(x.c.cast("double")), d) if is_number(x.t) else _null()
         if name in ("sum", "avg"):

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brookline.operators.filters import strict_number
 from brookline.operators.registry import UsageError, arg, operator, words
-from brookline.plans.frame import SEQ, Events, numbered
+from brookline.plans.frame import SEQ, Events, running
 
 _CACHE = arg("-c", "--cache-size", type=int)
 
@@ -38,13 +39,45 @@ def keycounttotal(ev: Events, a) -> Events:
     return _result(ev, df.groupBy(F.col("__k").alias(a.key_label)).agg(F.count(F.lit(1)).alias(a.count_label), *more))
 
 
+def ranked_counts(df: DataFrame, key: str = "key", x: str = "x") -> DataFrame:
+    """Distinct values of each key: key, x, c (rows), n (rows of the key), before (rows of the key that are less), place (distinct
+    values of the key that are less) and places (distinct values of the key).
+
+    Counts are made before the shuffle. Keys and values are numbered in one order over ranges of it, so neither a hot key nor a hot
+    value is one task's, and no task holds a key's values.
+    """
+    order = F.struct(key, x)
+    counts = df.groupBy(key, x).agg(F.count(F.lit(1)).alias("c")).withColumn(SEQ, order)
+    run = running(Events(counts, SEQ), {"upto": (F.col("c"), 1), "place": (F.lit(1).cast("long"), 1)}, df.select(order.alias("s"))).drop(SEQ)
+    ends = run.groupBy(F.col(key).alias("__key")).agg(F.sum("c").alias("n"), F.max("upto").alias("__top"), F.count(F.lit(1)).alias("places"), F.max("place").alias("__last"))
+    run = run.join(ends, F.col(key) == F.col("__key"))
+    return run.select(key, x, "c", "n", "places", (F.col("upto") - F.col("c") - F.col("__top") + F.col("n")).alias("before"), (F.col("place") - 1 - F.col("__last") + F.col("places")).alias("place"))
+
+
+def quantiles(ranked: DataFrame, shares: Sequence[float], key: str = "key", x: str = "x") -> DataFrame:
+    """Exact quantiles of each key with linear interpolation, as an array `q`. ranked: see ranked_counts."""
+    found = []
+    for p in shares:
+        at = F.lit(p) * (F.col("n") - 1)
+        for rank in (F.floor(at), F.ceil(at)):
+            found.append(F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("c")), F.col(x))).alias(f"r{len(found)}"))
+    out = ranked.groupBy(key).agg(F.max("n").alias("n"), *found)
+
+    def between(k: int, p: float) -> Column:
+        at, low, high = F.lit(p) * (F.col("n") - 1), F.col(f"r{2 * k}"), F.col(f"r{2 * k + 1}")
+        part = at - F.floor(at)
+        return F.when(low == high, low).otherwise((1 - part) * low + part * high)
+
+    return out.select(key, F.array(*[between(k, p) for k, p in enumerate(shares)]).alias("q"))
+
+
 @operator("keypercentile", "key_percentile", "percentile", args=(words("path"), arg("-k", "--key"), arg("-l", "--key-label", default="key"), arg("-s", "--label", default="percentiles"), _CACHE))
 def percentile(ev: Events, a) -> Events:
     """min, p50, p90, p99 and p100 of each key, exact, with linear interpolation."""
-    df = ev.df.select(_key(ev, a.key).alias(a.key_label), strict_number(ev.path(a.path)).alias("__x")).filter(F.col("__x").isNotNull() & F.col(a.key_label).isNotNull())
-    df = df.groupBy(a.key_label).agg(F.percentile("__x", F.array(*[F.lit(p) for p in (0.0, 0.5, 0.9, 0.99, 1.0)])).alias("__p"))
-    p = F.struct(*[F.col("__p")[k].alias(n) for k, n in enumerate(("min", "p50", "p90", "p99", "p100"))])
-    return _result(ev, df.select(a.key_label, p.alias(a.label)))
+    df = ev.df.select(_key(ev, a.key).alias("key"), strict_number(ev.path(a.path)).alias("x")).filter("x is not null and key is not null")
+    df = quantiles(ranked_counts(df), (0.0, 0.5, 0.9, 0.99, 1.0))
+    p = F.struct(*[F.col("q")[k].alias(n) for k, n in enumerate(("min", "p50", "p90", "p99", "p100"))])
+    return _result(ev, df.select(F.col("key").alias(a.key_label), p.alias(a.label)))
 
 
 def _label(x: float) -> str:
@@ -83,16 +116,13 @@ def histogram(ev: Events, a) -> Events:
     """Counts by bucket (map of bucket name to count) with total, min, max, mean and median of each key."""
     df = ev.df.select(_key(ev, a.key).alias("key"), strict_number(ev.path(a.path)).alias("x")).filter("x is not null and key is not null")
     spec = boundaries(a.buckets)
-    facts = [F.count(F.lit(1)).alias("total"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("median")]
+    facts = [F.count(F.lit(1)).alias("total"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean")]
+    ranked = ranked_counts(df)
     if isinstance(spec, int):
         # Bounds are the values at ranks i * n / N.
-        own = Window.partitionBy("key")
-        if a.key:
-            ranked = df.withColumn("r", F.row_number().over(own.orderBy("x")) - 1).withColumn("n", F.count(F.lit(1)).over(own))
-        else:
-            ranked = numbered(Events(df.withColumn(SEQ, F.col("x")), SEQ), "r", 0).withColumn("n", F.lit(df.count()))
         at = F.transform(F.sequence(F.lit(0), F.lit(spec)), lambda i: F.least(F.floor(i * F.col("n") / spec), F.col("n") - 1))
-        bounds = ranked.filter(F.array_contains(at, F.col("r").cast("long"))).groupBy("key").agg(F.array_sort(F.collect_set("x")).alias("b"))
+        hit = F.exists(at, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("c")))
+        bounds = ranked.filter(hit).groupBy("key").agg(F.array_sort(F.collect_set("x")).alias("b"))
         df = df.join(bounds, "key") if a.key else df.crossJoin(F.broadcast(bounds.select("b")))  # one row
         many = F.size("b")
         place = F.size(F.filter("b", lambda y: y <= F.col("x")))
@@ -117,7 +147,7 @@ def histogram(ev: Events, a) -> Events:
         total = F.max("c").over(own) if a.cumulative else F.sum("c").over(own)
         counts = counts.withColumn("c", F.col("c") / total)
     lists = counts.groupBy("key").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("i", "bucket", "c"))), lambda r: F.struct(r["bucket"], r["c"]))).alias("buckets"))
-    stats = df.groupBy("key").agg(*facts)
+    stats = df.groupBy("key").agg(*facts).join(quantiles(ranked, (0.5,)).select("key", F.col("q")[0].alias("median")), "key")
     out = stats.join(lists, "key").select("key", F.struct("buckets", "total", "min", "max", "mean", "median").alias(a.label))
     return _result(ev, out)
 
@@ -169,11 +199,19 @@ def keycorrelate(ev: Events, a) -> Events:
         df = df.filter(F.col("s") >= a.threshold)
     df = df.select("k", "v").distinct()
     total = df.select("k").distinct().count()
-    pairs = df.alias("a").join(df.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.v") < F.col("b.v")))
-    out = pairs.groupBy(F.col("a.v").alias("x"), F.col("b.v").alias("y")).agg(F.count(F.lit(1)).alias("co_occurrence_count"), F.array_sort(F.collect_set("a.k")).alias("keys"))
+    # A pair is under no more keys than either of its values is.
+    common = df.groupBy("v").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= a.min_support)
+    often = df.join(common.drop("__n"), "v", "left_semi")
+    pairs = often.alias("a").join(often.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.v") < F.col("b.v")))
+    out = pairs.groupBy(F.col("a.v").alias("x"), F.col("b.v").alias("y")).agg(F.count(F.lit(1)).alias("co_occurrence_count"))
     out = out.filter(F.col("co_occurrence_count") >= a.min_support).orderBy(F.desc("co_occurrence_count"), "x", "y").limit(a.top)
+    # Keys are gathered for the -n pairs that are left; so many rows are broadcast.
+    first = df.join(F.broadcast(out), F.col("v") == F.col("x")).select("x", "y", "co_occurrence_count", "k")
+    second = df.select(F.col("k").alias("k2"), "v").join(F.broadcast(out.select(F.col("y").alias("y2")).distinct()), F.col("v") == F.col("y2"), "left_semi")
+    both = first.join(second, (F.col("k") == F.col("k2")) & (F.col("y") == F.col("v")))
+    out = both.groupBy("x", "y", "co_occurrence_count").agg(F.array_sort(F.collect_list("k")).alias("keys"))
     out = out.select(F.array("x", "y").alias("pair"), "co_occurrence_count", (F.col("co_occurrence_count") / F.lit(max(total, 1))).alias("support"), "keys")
-    return _result(ev, out)
+    return _result(ev, out, F.struct(-F.col("co_occurrence_count"), "pair"))
 
 
 @operator("anomaly", args=(words("path"), arg("-k", "--key"), arg("--method", default="zscore", choices=["zscore", "iqr"]), arg("--threshold", type=float, default=3.0), arg("--multiplier", type=float, default=1.5), _CACHE))
@@ -182,7 +220,9 @@ def anomaly(ev: Events, a) -> Events:
 
     Statistics are aggregated by key (pre-aggregated by task) and joined back, so a hot key is never one task's rows."""
     df = ev.df.withColumn("__x", strict_number(ev.path(a.path))).withColumn("__k", _key(ev, a.key)).filter("__x is not null and __k is not null")
-    stats = df.groupBy("__k").agg(F.count(F.lit(1)).alias("__n"), F.avg("__x").alias("__m"), F.stddev_pop("__x").alias("__d"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), *([F.percentile("__x", F.array(F.lit(0.25), F.lit(0.75))).alias("__q")] if a.method == "iqr" else []))
+    stats = df.groupBy("__k").agg(F.count(F.lit(1)).alias("__n"), F.avg("__x").alias("__m"), F.stddev_pop("__x").alias("__d"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    if a.method == "iqr":
+        stats = stats.join(quantiles(ranked_counts(df.select("__k", "__x"), "__k", "__x"), (0.25, 0.75), "__k", "__x").withColumnRenamed("q", "__q"), "__k")
     df = df.join(stats, "__k") if a.key else df.crossJoin(F.broadcast(stats.drop("__k")))  # one row
     x = F.col("__x")
     if a.method == "zscore":
@@ -198,31 +238,21 @@ def anomaly(ev: Events, a) -> Events:
 
 @operator("rank", args=(words("path"), arg("-k", "--key"), arg("-g", "--global", dest="everything", action="store_true"), arg("--desc", action="store_true"), arg("--asc", action="store_true"), arg("-p", "--percentile", action="store_true"), arg("-d", "--dense", action="store_true"), arg("--rank-label", default="rank"), arg("--percentile-label", default="percentile"), _CACHE))
 def rank(ev: Events, a) -> Events:
-    """Rank within a key, or over all events, by descending value unless --asc; equal values share a rank."""
+    """Rank within a key, or over all events, by descending value unless --asc; equal values share a rank. Ranks come from counts of distinct
+    values and are joined back, so a key is never one task's rows."""
     df = ev.df.withColumn("__x", strict_number(ev.path(a.path))).withColumn("__k", _key(ev, a.key)).filter("__x is not null and __k is not null")
-    if not a.key:
-        return _global_rank(ev, df, a)
-    w = Window.partitionBy("__k").orderBy(F.col("__x").asc() if a.asc else F.col("__x").desc())
-    df = df.withColumn("__r", F.rank().over(w)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("__k")))
-    return _ranked(ev, df.withColumn("__d", F.dense_rank().over(w)) if a.dense else df.withColumn("__d", F.col("__r")), a)
-
-
-def _ranked(ev: Events, df, a) -> Events:
-    r, n = F.col("__d"), F.col("__n")
+    ranks = ranked_counts(df.select("__k", "__x"), "__k", "__x")
+    if a.dense:
+        r = F.col("place") + 1 if a.asc else F.col("places") - F.col("place")
+    else:
+        r = F.col("before") + 1 if a.asc else F.col("n") - F.col("before") - F.col("c") + 1
+    df = df.join(ranks.select("__k", "__x", r.alias("__r"), F.col("n").alias("__n")), ["__k", "__x"])
+    r, n = F.col("__r"), F.col("__n")
     share = ((r - 1) if a.asc else (n - r)) / (n - 1) * 100
     df = df.withColumn(a.rank_label, r.cast("long"))
     if a.percentile:
         df = df.withColumn(a.percentile_label, F.when(n == 1, 0.0 if a.asc else 100.0).otherwise(F.round(share, 2)))
-    return ev.with_df(df.drop("__x", "__k", "__r", "__n", "__d"))
-
-
-def _global_rank(ev: Events, df, a) -> Events:
-    """Ranks over everything from counts of distinct values: values are few or spread over ranges; no task gets all rows."""
-    counts = Events(df.groupBy("__x").agg(F.count(F.lit(1)).alias("__c")).withColumn(SEQ, F.col("__x") if a.asc else -F.col("__x")), SEQ)
-    run = numbered(counts, "__upto", 1, F.col("__c"))
-    run = numbered(Events(run, SEQ), "__d", 1) if a.dense else run.withColumn("__d", F.col("__upto") - F.col("__c") + 1)
-    total = df.count()
-    return _ranked(ev, df.join(run.select("__x", "__d"), "__x").withColumn("__n", F.lit(total)).withColumn("__r", F.lit(0)), a)
+    return ev.with_df(df.drop("__x", "__k", "__r", "__n"))
 
 
 @operator("sort", args=(words("path"), arg("-m", "--max", type=int), arg("-r", "--reverse", action="store_true")))

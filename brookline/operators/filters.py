@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brookline.functions.jmespath import Compiler, Parser, Value, is_number, text
+from brookline.functions.jmespath import Compiler, Parser, Value, boolean_of, is_number, is_open, number_of, string_of, text
 from brookline.operators.registry import UsageError, arg, operator, words
 from brookline.plans.frame import Events, numbered
 
@@ -34,13 +34,15 @@ def yes(c: Column) -> Column:
 
 def as_number(v: Value) -> Column:
     """Numbers as doubles, and numeric strings; null for all else."""
+    if is_open(v):
+        return F.coalesce(number_of(v), string_of(v).try_cast("double"))
     if is_number(v.t):
         return v.c.cast("double")
     return v.c.try_cast("double") if isinstance(v.t, T.StringType) else F.lit(None).cast("double")
 
 
 def strict_number(v: Value) -> Column:
-    return v.c.cast("double") if is_number(v.t) else F.lit(None).cast("double")
+    return number_of(v)
 
 
 def filter_operator(*names: str, args: tuple):
@@ -58,8 +60,7 @@ def filter_operator(*names: str, args: tuple):
 @filter_operator("match", args=(words("path"),))
 def match(scope, a) -> Column:
     """Keep events where the path is the boolean true."""
-    v = at(scope, a.path)
-    return yes(v.c) if isinstance(v.t, T.BooleanType) else F.lit(False)
+    return yes(boolean_of(at(scope, a.path)))
 
 
 @filter_operator("has_field", "hasfield", "haslabel", args=(words("path"),))

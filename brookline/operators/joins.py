@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,35 +10,29 @@ from brookline.functions.jsons import json_schema
 from brookline.operators.registry import UsageError, arg, operator
 from brookline.plans.frame import Events
 
-#: A reference of at most so many rows is broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
-
 
 def read_reference(spark, path: str, key: str) -> DataFrame:
-    """A JSON array of objects (indexed by the key field, the last of equal keys wins) or an object by key, as __k and its fields."""
-    text = "\n".join(r[0] for r in spark.read.text(path).collect()) if not path.startswith("/") else open(path, encoding="utf-8").read()
-    data = json.loads(text)
-    rows = {}
-    if isinstance(data, dict):
-        rows = {str(k): v for k, v in data.items() if isinstance(v, dict)}
-    else:
-        for r in data:
-            if isinstance(r, dict) and r.get(key) is not None:
-                k = r[key]
-                rows[k if isinstance(k, str) else json.dumps(k)] = r
-    lines = spark.createDataFrame([(k, json.dumps(v)) for k, v in rows.items()], "__k string, j string")
-    if not rows:
-        return lines.select("__k")
-    df = lines.select("__k", F.from_json("j", json_schema(lines, F.col("j"))).alias("r"))
+    """A JSON array of objects (indexed by the key field, the last of equal keys wins) or an object by key, as __k and its fields.
+
+    The file is one JSON value, read and taken apart by Spark."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("t"))
+    text = F.ltrim(F.regexp_replace("t", r"^[\s\uFEFF]+", ""))
+    named = whole.filter(F.startswith(text, F.lit("{"))).select(F.explode(F.from_json("t", "map<string, string>")).alias("__k", "j")).select("__k", "j", F.lit(0).alias("at"))
+    listed = whole.filter(F.startswith(text, F.lit("["))).select(F.posexplode(F.from_json("t", "array<string>")).alias("at", "j"))
+    listed = listed.select(F.from_json("j", "map<string, string>")[key].alias("__k"), "j", "at")
+    lines = named.unionByName(listed).filter(F.col("__k").isNotNull() & F.startswith(F.ltrim("j"), F.lit("{")))
+    lines = lines.groupBy("__k").agg(F.max_by("j", "at").alias("j"))
+    schema = json_schema(lines, F.col("j"))
+    df = lines.select("__k", F.from_json("j", schema).alias("r"))
     return df.select("__k", *[F.col("r").getField(f.name).alias(f.name) for f in df.schema["r"].dataType.fields])
 
 
-def join_reference(ev: Events, ref: DataFrame, key: str, how: str = "left", suffix: str | None = None, rows: int | None = None) -> Events:
-    """ref: __k (unique) and fields. Fields of a match overwrite the event's (nulls too), or get the suffix."""
+def join_reference(ev: Events, ref: DataFrame, key: str, how: str = "left", suffix: str | None = None) -> Events:
+    """ref: __k (unique) and fields. Fields of a match overwrite the event's (nulls too), or get the suffix. Spark broadcasts ref if its
+    bytes are below spark.sql.autoBroadcastJoinThreshold, and shuffles it beyond that."""
     own = [c for c in ref.columns if c != "__k"]
     ref = ref.select("__k", *[F.col(f"`{c}`").alias(f"__r_{c}") for c in own], F.lit(True).alias("__hit"))
-    small = (rows if rows is not None else ref.limit(BROADCAST_ROWS + 1).count()) <= BROADCAST_ROWS
-    df = ev.df.withColumn("__k", ev.key(key)).join(F.broadcast(ref) if small else ref, "__k", how)
+    df = ev.df.withColumn("__k", ev.key(key)).join(ref, "__k", how)
     for c in own:
         name = c + (suffix or "")
         r = F.col(f"`__r_{c}`")
@@ -58,7 +50,8 @@ def join(ev: Events, a) -> Events:
 
 @operator("dynamodbquery", "dynamodb_query", "dynamodbget", "dynamodb_get", args=(arg("table"), arg("-q", "--query-type", default="getitem", choices=["getitem", "query", "scan"]), arg("-j", "--key", default="key"), arg("-l", "--label", default="dynamodb_result"), arg("-p", "--pass-through", action="store_true"), arg("--retry-backoff-ms", type=int), arg("-r", "--region")))
 def lookup(ev: Events, a) -> Events:
-    """Look keys up in a registered key-value table: one hit is an object, several are an array; misses drop unless -p.
+    """Look keys up in a registered key-value table: one hit is an object (of several the first by its JSON text), with query and scan
+    all are an array; misses drop unless -p.
 
     The path gives the key, or an object whose fields are compared to the table's fields of these names."""
     from brookline.sources.tables import lookup_table
@@ -68,9 +61,8 @@ def lookup(ev: Events, a) -> Events:
     on = list(v.t.names) if isinstance(v.t, T.StructType) else ["key"]
     parts = [v.c.getField(n) for n in on] if isinstance(v.t, T.StructType) else [v.c]
     keys = [F.col(f"`{n}`").cast("string").alias(f"__t{k}") for k, n in enumerate(on)]
-    groups = table.groupBy(*keys).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in table.columns])).alias("__all"))
-    single = a.query_type == "getitem"
-    groups = groups.withColumn(a.label, F.col("__all")[0] if single else F.col("__all")).drop("__all")
+    row = F.struct(*[F.col(f"`{c}`") for c in table.columns])
+    groups = table.groupBy(*keys).agg((F.min_by(row, F.to_json(row)) if a.query_type == "getitem" else F.collect_list(row)).alias(a.label))
     df = ev.df
     for k, p in enumerate(parts):
         df = df.withColumn(f"__t{k}", p.cast("string"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from brookline.functions.times import event_ms, window_ms
+from brookline.functions.times import event_ms
 from brookline.operators.aggregate import _grouped
 from brookline.operators.filters import strict_number
 from brookline.operators.registry import UsageError, arg, operator, words
-from brookline.plans.frame import Events, numbered
+from brookline.plans.frame import Events
 
 _CACHE = arg("-c", "--cache-size", type=int)
 
@@ -99,7 +99,7 @@ def diff(ev: Events, a) -> Events:
             base = json.load(f)
         rows = [(str(n), float(v)) for n, v in base.items() if isinstance(v, (int, float)) and not isinstance(v, bool)]
         table = df.sparkSession.createDataFrame(rows, "__k string, __ref double")
-        df = df.join(F.broadcast(table) if len(rows) <= 1_000_000 else table, "__k", "left")
+        df = df.join(table, "__k", "left")
     else:
         df = df.withColumn("__ref", F.lit(a.constant))
     ref, ok = F.col("__ref"), F.col("__k").isNotNull()
@@ -121,11 +121,3 @@ def burstgroup(ev: Events, a) -> Events:
     clean = ev.with_df(ev.df.drop(*hidden))
     out = _grouped(clean, df, ["__k", "__burst", "__chunk"], "group", a.min)
     return out
-
-
-def running_count(ev: Events, label: str = "count") -> Events:
-    return ev.with_df(numbered(ev, label, 1))
-
-
-def stamp(ev: Events, path: str, fmt: str | None) -> Column:
-    return window_ms(ev.path(path), fmt)

@@ -218,12 +218,17 @@ def regexextract(scope, a) -> tuple[str, Value]:
     return a.label, Value(F.nullif(F.regexp_extract(text(at(scope, a.path)), f"(?U){pattern}", a.group), F.lit("")), STRING)
 
 
-@operator("jsondecode", "json_decode", "decodejson", args=(words("path", optional=True), arg("-l", "--label"), arg("--schema")))
+@operator("jsondecode", "json_decode", "decodejson", args=(words("path", optional=True), arg("-l", "--label"), arg("--schema"), arg("--variant", action="store_true")))
 def jsondecode(ev: Events, a) -> Events:
     """Parse JSON text: its fields join the event (new ones win), or go under a label. Bad JSON passes unchanged. Give the
-    schema as DDL; without one it is inferred from the data, which costs a pass over that column."""
+    schema as DDL; without one it is inferred from the data, which costs a pass over that column. --variant (with -l) needs no schema:
+    see the source `json`."""
     path = a.path or "value"
     s = text(ev.path(path))
+    if a.variant:
+        if not a.label:
+            raise UsageError("jsondecode: --variant needs -l")
+        return ev.add(a.label, F.try_parse_json(s))
     parsed = F.from_json(s, a.schema or json_schema(ev.df, s))
     if a.label:
         return ev.add(a.label, parsed)

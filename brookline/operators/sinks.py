@@ -44,6 +44,12 @@ def print_(ev: Events, a) -> Events:
     return ev
 
 
+def unsupported(name: str, **options) -> None:
+    """Options without a meaning for a registered client are refused, not ignored."""
+    if given := [n for n, v in options.items() if v]:
+        raise UsageError(f"{name}: no support for {', '.join(given)}; the registered client decides")
+
+
 def size_bytes(text: str) -> int:
     units = {"KB": 1 << 10, "MB": 1 << 20, "GB": 1 << 30, "B": 1}
     for u, n in units.items():
@@ -54,13 +60,16 @@ def size_bytes(text: str) -> int:
 
 @operator("s3buffer", args=(arg("bucket"), arg("-d", "--dir", default=""), arg("-f", "--prefix", default=""), arg("-s", "--size", default="1024KB"), arg("-c", "--count", type=int, default=1000), arg("-t", "--time", default="60s"), arg("--compression", default="gzip", choices=["gzip", "zstd"]), arg("-r", "--region")), kind="sink")
 def buffered_objects(ev: Events, a) -> Events:
-    """JSON lines in folders by hour; a file holds at most -c events. A stream writes at each interval of -t."""
-    duration_ms(a.time), size_bytes(a.size)
+    """JSON lines in folders by hour; a file holds at most -c events and about -s of text. A run on a table writes at once,
+    so -t has no effect; a stream's trigger is its interval."""
+    duration_ms(a.time)
     now = F.current_timestamp()
     parts = {"year": "yyyy", "month": "MM", "day": "dd", "hour": "HH"}
     df = as_text(ev).select("value", *[F.date_format(now, p).alias(n) for n, p in parts.items()])
     path = "/".join(x.strip("/") if k else x.rstrip("/") for k, x in enumerate((a.bucket, a.dir)) if x)
-    df.write.mode("append").partitionBy(*parts).option("maxRecordsPerFile", a.count).option("compression", a.compression).text(path)
+    average = df.agg(F.avg(F.octet_length("value") + 1)).first()[0] or 1
+    rows = max(1, min(a.count, int(size_bytes(a.size) / average)))
+    df.write.mode("append").partitionBy(*parts).option("maxRecordsPerFile", rows).option("compression", a.compression).text(path)
     return ev
 
 
@@ -88,7 +97,8 @@ def _payload(ev: Events, path: str | None):
 
 @operator("kinesis_out", args=(arg("stream"), arg("-p", "--partition-key"), arg("-c", "--compress", action="store_true"), arg("-s", "--size", type=int, default=1), arg("-d", "--debug", action="store_true")), kind="sink")
 def to_stream(ev: Events, a) -> Events:
-    """Put each event on a stream."""
+    """Put each event on a stream, -s at a time."""
+    unsupported("kinesis_out", **{"-p": a.partition_key, "-c": a.compress})
     return send(ev, "stream", a.stream, _payload(ev, None), max(a.size, 1))
 
 
@@ -101,6 +111,7 @@ def to_firehose(ev: Events, a) -> Events:
 @operator("sns", args=(arg("topic"), arg("-c", "--compact", action="store_true"), arg("-s", "--subject"), arg("-p", "--path"), arg("-d", "--debug", action="store_true"), arg("-t", "--tail", type=int)), kind="sink")
 def to_topic(ev: Events, a) -> Events:
     """Publish each event to a topic; -t keeps the end of the text."""
+    unsupported("sns", **{"-s": a.subject, "-c": a.compact})
     v = _payload(ev, a.path)
     return send(ev, "topic", a.topic, F.right(v, F.lit(a.tail)) if a.tail else v, 1)
 
@@ -120,9 +131,10 @@ def delete_messages(ev: Events, a) -> Events:
     return ev
 
 
-@operator("dynamodbput", "dynamodb_put", args=(arg("table"), arg("-j", "--path"), arg("--retry-backoff-ms", type=int, default=100), arg("-r", "--region"), arg("--batch-size", type=int, default=25)), kind="sink")
+@operator("dynamodbput", "dynamodb_put", args=(arg("table"), arg("-j", "--path"), arg("--retry-backoff-ms", type=int), arg("-r", "--region"), arg("--batch-size", type=int, default=25)), kind="sink")
 def put_items(ev: Events, a) -> Events:
-    """Write each event to a key-value table."""
+    """Write each event to a key-value table, --batch-size at a time. Retries are the client's."""
+    unsupported("dynamodbput", **{"--retry-backoff-ms": a.retry_backoff_ms})
     return send(ev, "table", a.table, _payload(ev, a.path), a.batch_size)
 
 
@@ -178,20 +190,31 @@ def exec_(ev: Events, a) -> Events:
 
 @operator("bedrock", args=(words("prompt", optional=True), arg("-f", "--file"), arg("-j", "--path"), arg("-o", "--output-tag", nargs="+"), arg("-m", "--model", default=""), arg("-l", "--label", default="bedrock"), arg("-r", "--retries", type=int, default=5), arg("-b", "--batch", type=int, default=10)))
 def model_call(ev: Events, a) -> Events:
-    """Ask a registered model about each event; lines of the answer, or what stands in the given tags, go under the label."""
+    """Ask a registered model about each event; lines of the answer, or what stands in the given tags, go under the label. A
+    failed call is made again up to -r times."""
     prompt = a.prompt or ""
     if a.file:
         with open(a.file, encoding="utf-8") as f:
             prompt = f.read()
     factory, model, batch = client_factory("model"), a.model, a.batch
 
+    retries = a.retries
+
+    def attempt(client, event: str) -> str:
+        for left in range(retries, -1, -1):
+            try:
+                return client.answer(prompt, event)
+            except Exception:
+                if not left:
+                    raise
+
     @F.pandas_udf("string")
     def ask(events: pd.Series) -> pd.Series:
         from concurrent.futures import ThreadPoolExecutor
 
         client = factory(model)
         with ThreadPoolExecutor(batch) as pool:
-            return pd.Series(list(pool.map(lambda e: client.answer(prompt, e), events)), dtype=object)
+            return pd.Series(list(pool.map(lambda e: attempt(client, e), events)), dtype=object)
 
     answer = F.col("__a")
     out = ev.add("__a", ask(_payload(ev, a.path)))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brookline.plans import roundtrips
 from brookline.plans.frame import Events, events
 from brookline.plans.language import run
 
@@ -91,6 +92,7 @@ def _define() -> None:
     pipeline("regexextractor", "pages | regexextractor url -p '//([^/]+)/' -c 1 -t host | select '{k: page_id, host: host}'", "SELECT page_id AS k, nullif(regexp_extract(url, '//([^/]+)/', 1), '') AS host FROM pages")
     pipeline("defang", "pages | defang url -l d | select '{k: page_id, d: d}'", r"SELECT page_id AS k, replace(regexp_extract(url, '^(https?)://', 1), 'http', 'hxxp') || '://' || replace(regexp_extract(url, '//([^/]+)', 1), '.', '[.]') || regexp_extract(url, '^https?://[^/]+(.*)$', 1) AS d FROM pages")
     pipeline("jsondecode", "events | jsondecode props | select '{event_id: event_id, k: k}'", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+    pipeline("jsondecode_variant", "events | jsondecode props -l doc --variant | match 'doc.k > `5`' | sum doc.k -k event_type -s total", "SELECT event_type AS key, sum(CAST(json_extract(props, '$.k') AS DOUBLE)) AS total FROM events WHERE CAST(json_extract(props, '$.k') AS DOUBLE) > 5 GROUP BY 1")
     pipeline("classify", "events | classify level -f value --rules 'value >= 200 -> high' 'value >= 50 -> mid' --default low | select '{event_id: event_id, level: level}'", "SELECT event_id, CASE WHEN value >= 200 THEN 'high' WHEN value >= 50 THEN 'mid' ELSE 'low' END AS level FROM events")
     pipeline("sum", "events | sum value -k user_id -s total", "SELECT CAST(user_id AS VARCHAR) AS key, round(sum(value), 4) AS total FROM events GROUP BY user_id", lambda d: d.withColumn("total", F.round("total", 4)))
     pipeline("keycounttotal", "lineitem | keycounttotal l_suppkey", "SELECT CAST(l_suppkey AS VARCHAR) AS key, count(*) AS keycount FROM lineitem GROUP BY l_suppkey")
@@ -105,7 +107,7 @@ def _define() -> None:
     pipeline("anomaly_iqr", "events | anomaly value --method iqr | select '{event_id: event_id, odd: is_anomaly}'", "WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events) SELECT event_id, value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a) AS odd FROM events, q")
     pipeline("rank", "events | rank value -k event_type -p | select '{event_id: event_id, rank: rank, p: percentile}'", "SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY value DESC) AS rank, round((count(*) OVER (PARTITION BY event_type) - rank() OVER (PARTITION BY event_type ORDER BY value DESC)) / (count(*) OVER (PARTITION BY event_type) - 1) * 100, 2) AS p FROM events")
     pipeline("rank_global", "events | rank value -g -d --asc | select '{event_id: event_id, rank: rank}'", "SELECT event_id, dense_rank() OVER (ORDER BY value) AS rank FROM events")
-    pipeline("sort", "customer | sort c_acctbal | enumerate -l at | select '{k: c_custkey, at: at}'", None)
+    pipeline("sort", "customer | sort c_acctbal | enumerate -l at | select '{k: c_custkey, at: at}'", "SELECT c_custkey AS k, row_number() OVER (ORDER BY CAST(c_acctbal AS VARCHAR), c_custkey) - 1 AS at FROM customer")
     pipeline("numsort", "part | numsort p_retailprice -r | enumerate -l at | select '{k: p_partkey, at: at}'", "SELECT p_partkey AS k, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS at FROM part")
     pipeline("top", "lineitem | top l_extendedprice -n 20 | select '{k: l_orderkey, n: l_linenumber, p: l_extendedprice}'", "SELECT l_orderkey AS k, l_linenumber AS n, l_extendedprice AS p FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 20")
     pipeline("keycount", "events | keycount user_id -o n | select '{event_id: event_id, n: n}'", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events")
@@ -126,6 +128,20 @@ def _define() -> None:
     pipeline("kvmap", "baskets | kvmap items -o last | select '{k: l_orderkey, a: last.A, n: last.N, r: last.R}'", "SELECT l_orderkey AS k, max(l_linenumber) FILTER (l_returnflag = 'A') AS a, max(l_linenumber) FILTER (l_returnflag = 'N') AS n, max(l_linenumber) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY l_orderkey")
     pipeline("filterarray", "baskets | filterarray items numfilter l_quantity '>' 25 | select '{k: l_orderkey, n: length(items)}'", "SELECT l_orderkey AS k, count(*) FILTER (l_quantity > 25) AS n FROM lineitem GROUP BY l_orderkey")
     pipeline("apply", "spread | apply place lower n_name --label low | select '{k: n_nationkey, low: place.low}'", "SELECT n_nationkey AS k, lower(n_name) AS low FROM nation")
+    lines = "baskets | flatten items -k '{order: l_orderkey}' | nummatch l_linenumber -v "
+    pipeline("union_order", f"{lines}1 -e | $out ; {lines}2 -e | $out ; $out | enumerate -l at | select '{{order: order, n: l_linenumber, at: at}}'", "SELECT l_orderkey AS \"order\", l_linenumber AS n, row_number() OVER (ORDER BY l_linenumber, l_orderkey) - 1 AS at FROM lineitem WHERE l_linenumber <= 2")
+    pipeline("union_head", "shuffled | match \"event_type == 'click'\" | $out ; events | match \"event_type == 'view'\" | $out ; $out | head -n 15 | select '{event_id: event_id}'", "SELECT event_id FROM events WHERE event_type = 'click' ORDER BY event_id * 7919 % 10007, event_id LIMIT 15")
+    pipeline("percentile_all", "events | percentile value | select '{key: key, p50: percentiles.p50, p99: percentiles.p99, hi: percentiles.p100}'", "SELECT 'total' AS key, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS hi FROM events", lambda d: d.withColumns({c: F.round(c, 6) for c in ("p50", "p99")}))
+    pipeline("histogram_quantile", "events | histogram value -k event_type -b quantile:4", "WITH r AS (SELECT event_type AS k, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL), b AS (SELECT DISTINCT k, v FROM r, range(5) t(i) WHERE rn = least(i * n // 4, n - 1)), m AS (SELECT k, max(v) AS top, count(*) AS c FROM b GROUP BY k), p AS (SELECT r.k, r.v, count(b.v) AS upto FROM r JOIN b ON b.k = r.k AND b.v <= r.v GROUP BY r.k, r.v, r.rn), h AS (SELECT k, CASE WHEN v = top THEN c - 1 ELSE upto END AS place FROM p JOIN m USING (k)), q AS (SELECT event_type AS k, median(value) AS median FROM events GROUP BY 1) SELECT k AS key, count(*) AS n, round(median, 6) AS median FROM h JOIN q USING (k) GROUP BY k, place, median", lambda d: d.select("key", F.explode("histogram.buckets").alias("bucket", "n"), F.round("histogram.median", 6).alias("median")).drop("bucket"))
+    pipeline("histogram_cumulative", "events | histogram value -b log:1:1000:10 --cumulative", "SELECT u.bucket, count(*) FILTER (CASE u.bucket WHEN '<1' THEN value < 1 WHEN '[1-10)' THEN value < 10 WHEN '[10-100)' THEN value < 100 WHEN '[100-1000]' THEN value <= 1000 ELSE true END) AS n FROM events, unnest(['<1', '[1-10)', '[10-100)', '[100-1000]', '>1000']) u(bucket) WHERE value IS NOT NULL GROUP BY u.bucket", lambda d: d.select(F.explode("histogram.buckets").alias("bucket", "n")))
+    pipeline("histogram_normalized", "events | histogram value -k event_type -b 0:100:50 --normalize", "SELECT key, bucket, round(c / sum(c) OVER (PARTITION BY key), 6) AS n FROM (SELECT event_type AS key, CASE WHEN value < 0 THEN '<0' WHEN value < 50 THEN '[0-50)' WHEN value <= 100 THEN '[50-100]' ELSE '>100' END AS bucket, count(*) AS c FROM events WHERE value IS NOT NULL GROUP BY ALL)", lambda d: d.select("key", F.explode("histogram.buckets").alias("bucket", "n")).filter("n > 0").withColumn("n", F.round("n", 6)))
+    pipeline("rank_dense", "lineitem | rank l_quantity -k l_returnflag -d | select '{k: l_orderkey, n: l_linenumber, rank: rank}'", "SELECT l_orderkey AS k, l_linenumber AS n, dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity DESC) AS rank FROM lineitem")
+    pipeline("keycorrelate_keys", "lineitem | keycorrelate l_linenumber -k l_suppkey -n 3 | select '{a: pair[0], b: pair[1], n: co_occurrence_count, m: length(keys)}'", "WITH d AS (SELECT DISTINCT l_suppkey AS k, CAST(l_linenumber AS VARCHAR) AS v FROM lineitem) SELECT a.v AS a, b.v AS b, count(*) AS n, count(*) AS m FROM d a JOIN d b ON a.k = b.k AND a.v < b.v GROUP BY ALL HAVING count(*) >= 2 ORDER BY n DESC, a, b LIMIT 3")
+    pipeline("keycounttotal_first", "events | keycounttotal user_id -r first | select '{key: key, n: keycount, first: first.event_id}'", "SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n, min(event_id) AS first FROM events GROUP BY user_id")
+    pipeline("lastn_one", f"events | lastn user_id -m 1 | {cut}", f"SELECT {e} FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+    pipeline("diff_value", "events | diff -k user_id -f value --value 50 | select '{event_id: event_id, d: value_diff, p: value_pct_change}'", "SELECT event_id, round(value - 50, 6) AS d, round((value - 50) / 50 * 100, 4) AS p FROM events", lambda d: d.withColumns({"d": F.round("d", 6), "p": F.round("p", 4)}))
+    pipeline("sample_reservoir", "events | sample --reservoir 50 --seed 3", "SELECT 50 AS n, 50 AS ids", lambda d: d.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids")))
+    pipeline("window_update", "events | window ts -w 1d -k event_type --emit on-update", f"SELECT {w.format(86400000)}, CAST(86400 AS BIGINT) AS duration, event_type AS key, row_number() OVER (PARTITION BY w, event_type ORDER BY event_id) AS count FROM (SELECT *, (epoch_us(ts) // 1000) // 86400000 * 86400000 AS w FROM events)")
     pipeline("fan_out_union", "events | match \"value > `100`\" | $big ; $big | match \"event_type == 'click'\" | $out ; $big | match \"event_type == 'view'\" | $out ; $out | sum value -k event_type -s total", "SELECT event_type AS key, round(sum(value), 4) AS total FROM events WHERE value > 100 AND event_type IN ('click', 'view') GROUP BY 1", lambda d: d.withColumn("total", F.round("total", 4)))
 
 
@@ -164,6 +180,14 @@ def components_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.apply("select", "{k: l_orderkey, n: component_count}").frame()
 
 
+COMPONENTS = """
+WITH RECURSIVE pair AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS a, l_partkey + 1000000000 AS b FROM lineitem),
+edge AS (SELECT k, a, b FROM pair UNION SELECT k, b, a FROM pair),
+reach AS (SELECT k, a, b FROM edge UNION SELECT r.k, r.a, e.b FROM reach r JOIN edge e ON r.k = e.k AND r.b = e.a)
+SELECT k, count(DISTINCT low) AS n FROM (SELECT k, a, min(b) AS low FROM reach GROUP BY k, a) GROUP BY k
+"""
+
+
 def generated_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: run(spark, text)
 
@@ -176,9 +200,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         _found["join_left"] = (join_query("left"), joined.format("LEFT"))
         _found["join_inner"] = (join_query("inner"), joined.format(""))
         _found["dynamodbget"] = (lookup_query, "SELECT l_orderkey AS k, l_linenumber AS n, s_name AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
-        _found["components"] = (components_query, None)
+        _found["components"] = (components_query, COMPONENTS)
         _found["gen"] = (generated_query("gen -c 1000 --seed 1"), None)
         _found["keygen"] = (generated_query("keygen -k 200 --mean 4 -m 1000"), None)
+        _found.update(roundtrips.found())
     return {k: q for k, (q, _) in _found.items()}
 
 

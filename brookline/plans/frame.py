@@ -77,21 +77,24 @@ def events(df: DataFrame, order: str | None = None) -> Events:
 
 
 def _literal(value, t: T.DataType) -> Column:
+    if value is None:
+        return F.lit(None).cast(t)
     if isinstance(t, T.StructType):
         return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, t.fields, strict=True)])
     return F.lit(value).cast(t)
 
 
-def in_ranges(ev: Events, label: str = "__p") -> DataFrame:
+def in_ranges(ev: Events, label: str = "__p", sample: DataFrame | None = None) -> DataFrame:
     """Number the ranges of the order: events of a higher range come after those of a lower one.
 
     The bounds are values of a small sample of the order column (twenty for each shuffle partition), put into the plan as literals, so
-    every part of a plan and every rerun of a task agrees on them. They affect balance only.
+    every part of a plan and every rerun of a task agrees on them. They affect balance only, so a cheaper table with a column s of
+    such values may be sampled instead.
     """
     n = int(ev.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ev.df.select(ev.seq().alias("s"))
-    found = sorted(r["s"] for r in order.filter("s is not null").orderBy(F.rand(7)).limit(20 * n).collect())
     t = order.schema["s"].dataType
+    found = sorted((r["s"] for r in (sample or order).filter("s is not null").orderBy(F.rand(7)).limit(20 * n).collect()), key=_sortable)
     bounds = [found[k] for k in range(20, len(found), 20)]
     if not bounds:
         return ev.df.withColumn(label, F.lit(0))
@@ -99,19 +102,31 @@ def in_ranges(ev: Events, label: str = "__p") -> DataFrame:
     return ev.df.withColumn(label, F.size(F.filter(lits, lambda b: b <= ev.seq())))
 
 
-def numbered(ev: Events, label: str, start: int, value: Column | None = None) -> DataFrame:
-    """A running total over all events in order (of 1, or of `value`), without bringing them to one task.
+def _sortable(value):
+    """Nulls inside an order come first, as in Spark."""
+    if isinstance(value, (tuple, list)):
+        return tuple(_sortable(v) for v in value)
+    return (value is not None, value)
+
+
+def numbered(ev: Events, label: str, start: int, value: Column | None = None, sample: DataFrame | None = None) -> DataFrame:
+    """A running total over all events in order (of 1, or of `value`), without bringing them to one task."""
+    return running(ev, {label: (F.lit(1).cast("long") if value is None else value, start)}, sample)
+
+
+def running(ev: Events, totals: dict[str, tuple[Column, int]], sample: DataFrame | None = None) -> DataFrame:
+    """Running totals over all events in order: by label the value and, less one, what the total starts from.
 
     Events are dealt into ranges of the order and sorted there; each range gets what lies before it from a small table of the
     ranges' sums (one row per range).
     """
-    value = F.lit(1).cast("long") if value is None else value
-    ranged = in_ranges(ev).withColumn("__v", value)
-    own = Window.partitionBy("__p").orderBy(ev.seq())
-    local = ranged.withColumn("__run", F.sum("__v").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    sums = ranged.groupBy("__p").agg(F.sum("__v").alias("__s"))
+    ranged = in_ranges(ev, sample=sample).withColumns({f"__v{k}": v for k, (v, _) in enumerate(totals.values())})
+    own = Window.partitionBy("__p").orderBy(ev.seq()).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumns({f"__run{k}": F.sum(f"__v{k}").over(own) for k in range(len(totals))})
+    sums = ranged.groupBy("__p").agg(*[F.sum(f"__v{k}").alias(f"__s{k}") for k in range(len(totals))])
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("__p", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__b"))
+    sums = sums.select("__p", *[F.coalesce(F.sum(f"__s{k}").over(before), F.lit(0)).alias(f"__b{k}") for k in range(len(totals))])
     # One row per range, so its size is bounded by the number of partitions.
     out = local.join(F.broadcast(sums), "__p")
-    return out.withColumn(label, F.col("__run") + F.col("__b") + (start - 1 if start != 1 else 0)).drop("__p", "__v", "__run", "__b")
+    out = out.withColumns({label: F.col(f"__run{k}") + F.col(f"__b{k}") + (start - 1) for k, (label, (_, start)) in enumerate(totals.items())})
+    return out.drop("__p", *[f"{c}{k}" for k in range(len(totals)) for c in ("__v", "__run", "__s", "__b")])

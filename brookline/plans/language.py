@@ -1,7 +1,7 @@
 """The pipeline language: `source | op args | op args ; $var | op ...` to a graph, and the graph to DataFrames.
 
 Nothing runs while a graph is built. Pipes that end in one variable are united there; a variable that several
-pipes read is cached; sinks run one Spark action each.
+pipes read is planned into each of them, so that each reads only the columns and rows that it needs; sinks run one Spark action each.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import brookline.operators.load  # noqa: F401  registers all operators
 from brookline.operators.registry import UsageError, find, parse
 from brookline.plans.frame import SEQ, Events, events
+from brookline.sources.clients import acknowledge
 
 _TOKEN = re.compile(r"""[^\S\n]*(?:(?P<comment>\#[^\n;]*)|(?P<pipe>\|)|(?P<end>;|\n)|(?P<single>'[^']*')|(?P<double>"(?:\\.|[^"\\])*")|(?P<var>\$[A-Za-z_]\w*)|(?P<word>[^\s|;'"]+))""")
 
@@ -145,12 +147,19 @@ def dot(text: str) -> str:
 
 
 def unite(streams: list[Events]) -> Events:
-    """UNION ALL; fields that a stream lacks are null. Order: the streams one after another."""
+    """UNION ALL; fields that a stream lacks are null. Order: the streams one after another, each in its own order, also where they
+    are branches of one source. The order keeps its type: streams whose orders have one type share a column of the order."""
     if len(streams) == 1:
         return streams[0]
+    kinds: list[T.DataType] = []
+    for s in streams:
+        if (kind := s.df.schema[s.order].dataType) not in kinds:
+            kinds.append(kind)
+
     def part(k: int, s: Events) -> DataFrame:
-        text = F.lpad(s.seq().cast("string"), 20, "0") if s.df.schema[s.order].dataType.simpleString() in ("bigint", "int") else s.seq().cast("string")
-        order = F.struct(F.lit(k).alias("stream"), text.alias("text"), F.monotonically_increasing_id().alias("at"))
+        own = kinds.index(s.df.schema[s.order].dataType)
+        orders = [(s.seq() if j == own else F.lit(None).cast(kind)).alias(f"o{j}") for j, kind in enumerate(kinds)]
+        order = F.struct(F.lit(k).alias("stream"), *orders, F.monotonically_increasing_id().alias("at"))
         return s.df.select(*[F.col(f"`{c}`") for c in s.fields], order.alias(SEQ))
 
     parts = [part(k, s) for k, s in enumerate(streams)]
@@ -185,8 +194,6 @@ class Pipeline:
             inputs = [build(i) for i in s.inputs]
             if s.variable:
                 out = unite(inputs)
-                if len(s.outputs) > 1:
-                    out = out.with_df(out.df.cache())
             elif s.name in tables:
                 t = tables[s.name]
                 out = events(t) if isinstance(t, DataFrame) else t
@@ -210,6 +217,7 @@ class Pipeline:
         built = {s.number: build(s) for s in last}
         wanted = [s for s in self.stages if s.name == "acc"] or [s for s in last if s.variable or s.name in tables or find(s.name).kind != "sink"]
         if not wanted:
+            acknowledge()  # all sinks have written
             return None
         return unite([built.get(s.number) or done[s.number] for s in wanted]).frame()
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import json as jsonlib
-import math
+import re
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from brookline.functions.jsons import json_schema
 from brookline.operators.registry import UsageError, arg, operator
 from brookline.plans.frame import SEQ, Events, events
-from brookline.sources.clients import client_factory
+from brookline.sources.clients import client_factory, delete_later
 
 
 def _scan(df: DataFrame) -> Events:
@@ -29,11 +29,20 @@ def _json(spark: SparkSession, paths: list[str], needle: str | None = None, sche
     return (reader.schema(schema) if schema else reader).json(paths)
 
 
-@operator("json", "in", args=(arg("files", nargs="*"), arg("-c", "--contains"), arg("-b", "--batch", type=int), arg("-l", "--label"), arg("-d", "--no-decode", action="store_true"), arg("--schema")), kind="source")
+@operator("json", "in", args=(arg("files", nargs="*"), arg("-c", "--contains"), arg("-b", "--batch", type=int), arg("-l", "--label"), arg("-d", "--no-decode", action="store_true"), arg("--schema"), arg("--variant", action="store_true")), kind="source")
 def json(spark: SparkSession, a) -> Events:
-    """JSON lines. -c keeps lines with a string before they are parsed; -d gives the lines themselves; -l puts events under a label."""
+    """JSON lines. -c keeps lines with a string before they are parsed; -d gives the lines themselves; -l puts events under a label.
+
+    --variant (with -l) keeps each event as an open value: no schema is looked for, fields may have another type in each event, mixed arrays
+    stay mixed, and paths into them are resolved value by value."""
     if a.no_decode:
         return line(spark, a)
+    if a.variant:
+        if not a.label:
+            raise UsageError("json: --variant needs -l")
+        lines = spark.read.text(a.files).filter(F.trim("value") != "")
+        lines = lines.filter(F.contains("value", F.lit(a.contains))) if a.contains else lines
+        return _scan(lines.select(F.parse_json("value").alias(a.label)))
     ev = _scan(_json(spark, a.files, a.contains, a.schema))
     return Events(ev.df.select(ev.event().alias(a.label), SEQ), SEQ) if a.label else ev
 
@@ -56,7 +65,9 @@ def csv(spark: SparkSession, a) -> Events:
         reader = reader.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
     if a.labels:
         labels = a.labels.split() if isinstance(a.labels, str) else a.labels
-        more = [f"Column{k}" for k in range(len(labels), len(labels) + (64 if a.flexible else 0))]
+        # No line has more fields than delimiters and one.
+        fields = spark.read.text(a.files).agg(F.max(F.size(F.split("value", re.escape(sep))))).first()[0] if a.flexible else 0
+        more = [f"Column{k}" for k in range(len(labels), fields or 0)]
         df = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in [*labels, *more]])).csv(a.files)
         if more:
             used = df.agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in more]).first()
@@ -88,36 +99,28 @@ def generate(spark: SparkSession, a) -> Events:
     return Events(spark.range(a.count).select(*cols, F.col("id").alias(SEQ)), SEQ)
 
 
-def power_law(most: int, alpha: float, least: int = 1) -> list[float]:
-    """Probabilities of event counts least..most under a truncated power law."""
-    w = [n**-alpha for n in range(least, most + 1)]
-    total = math.fsum(w)
-    return [x / total for x in w]
+def power_law(most: int, alpha: float, least: int = 1) -> np.ndarray:
+    """Probabilities of event counts least..most: a continuous power law from `least` to most + 1, rounded down. It is what keygen draws."""
+    x = np.arange(least, most + 2, dtype=float)
+    upto = np.log(x / least) / np.log((most + 1) / least) if abs(alpha - 1) < 1e-9 else ((x / least) ** (1 - alpha) - 1) / (((most + 1) / least) ** (1 - alpha) - 1)
+    return np.diff(upto)
 
 
 def solve_alpha(goal: str, value: float, most: int, least: int, share: float = 0.0) -> float:
     """The exponent at which a figure of the distribution has a value, by bisection: all figures fall or rise with it."""
+    counts = np.arange(least, most + 1)
 
     def figure(alpha: float) -> float:
         p = power_law(most, alpha, least)
         if goal == "singleton":
             return p[0] * 100
-        counts = range(least, most + 1)
         if goal == "mean":
-            return math.fsum(n * x for n, x in zip(counts, p, strict=True))
+            return counts @ p
         if goal == "median":
-            total = 0.0
-            for n, x in zip(counts, p, strict=True):
-                total += x
-                if total >= 0.5:
-                    return n
-        mass, events, need = math.fsum(n * x for n, x in zip(counts, p, strict=True)), 0.0, share / 100
-        for n, x in zip(reversed(counts), reversed(p), strict=True):
-            part = min(x, need)
-            events, need = events + part * n, need - part
-            if need <= 0:
-                break
-        return events / mass * 100
+            return counts[min(np.searchsorted(np.cumsum(p), 0.5), len(p) - 1)]
+        # The share of events that the most frequent keys have; the last count takes part in proportion.
+        taken = np.minimum(np.maximum(share / 100 - (np.cumsum(p[::-1])[::-1] - p), 0), p)
+        return counts @ taken / (counts @ p) * 100
 
     low, high = 0.01, 10.0
     rising = figure(high) > figure(low)
@@ -183,10 +186,11 @@ def list_objects(spark: SparkSession, a) -> Events:
     return _scan(df.filter(F.startswith("object_key", F.lit(a.prefix))))
 
 
-def _poll(a, most: int = 10_000) -> list[tuple]:
+def _poll(a) -> list[tuple]:
+    """All messages that wait, until a poll finds none. Messages are short notices; they stay in the queue until acknowledge()."""
     queue = client_factory("queue")(a.queue)
     rows = []
-    while len(rows) < most and (got := queue.receive(a.wait)):
+    while got := queue.receive(a.wait):
         rows += got
     return rows
 
@@ -204,27 +208,29 @@ def decode_notices(df: DataFrame, body: str = "body") -> DataFrame:
 
 @operator("sqs", args=(arg("queue"), arg("-w", "--wait", type=int, default=20), arg("-k", "--keep", action="store_true"), arg("-s", "--label")), kind="source")
 def queue(spark: SparkSession, a) -> Events:
-    """Messages of a queue: object notices are decoded; others are parsed under the label, or kept as sqs_body."""
+    """Messages of a queue: object notices are decoded; others are parsed under the label, or kept as sqs_body. They are deleted
+    (unless -k) once the pipeline's sinks have written, see clients.acknowledge."""
     rows = _poll(a)
     df = decode_notices(spark.createDataFrame([(b, r, s) for b, r, s in rows], "body string, sqs_receipt_handle string, sqs_sent_timestamp string"))
     if a.label and rows:
         df = df.withColumn(a.label, F.from_json("body", json_schema(df, F.col("body"))))
     df = df.withColumn("sqs_body", F.when(F.col("bucket_name").isNull(), F.col("body"))).drop("body")
     if not a.keep and rows:
-        client_factory("queue")(a.queue).delete([r for _, r, _ in rows])
+        delete_later(a.queue, [r for _, r, _ in rows])
     return _scan(df)
 
 
 @operator("sqss3", args=(arg("queue"), arg("-w", "--wait", type=int, default=2), arg("-m", "--max", type=int, default=1024), arg("-s", "--silent", action="store_true"), arg("--schema"), arg("--root", default="")), kind="source")
 def queue_objects(spark: SparkSession, a) -> Events:
-    """Rows of the objects that a queue's notices name. Messages are deleted after their objects were listed for reading."""
+    """Rows of the objects that a queue's notices name. Messages are deleted once the pipeline's sinks have
+    written, see clients.acknowledge."""
     rows = _poll(a)
     if not rows:
         return events(spark.createDataFrame([], "value string"))
     df = decode_notices(spark.createDataFrame([(b,) for b, _, _ in rows], "body string")).filter("object_key is not null")
     paths = [f"{a.root}{r['bucket_name']}/{r['object_key']}" for r in df.select("bucket_name", "object_key").distinct().collect()]
     ev = _scan(_json(spark, paths, schema=a.schema))
-    client_factory("queue")(a.queue).delete([r for _, r, _ in rows])
+    delete_later(a.queue, [r for _, r, _ in rows])
     return ev
 
 
@@ -268,7 +274,3 @@ def injected(spark: SparkSession, a) -> Events:
     if getattr(a, "given", None) is None:
         raise UsageError("lambda: the caller passes events to run()")
     return a.given
-
-
-def parse_event(text: str) -> dict:
-    return jsonlib.loads(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,3 +57,14 @@ class KeyTable:
 
 def key_table(spark: SparkSession, name: str, key: str, ttl: str) -> KeyTable:
     return KeyTable(spark, _roots.get(name, name), key, ttl)
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder name that the driver and all executors share: below spark.checkpoint.dir, or a temporary one on a local master."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="brookline-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/brookline-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex[:12]}"
