@@ -43,21 +43,23 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, length_preference: float = 1.0) -> DataFrame:
-    """One row per input row: id, size, source, source_size, target, expected, copies, taken.
+    """One row per input row: id, row (a hash of id and text), size, source, source_size, target, expected, copies, taken.
 
     Each document's expected copies are min(cap, level * preference), where the preference is
     1 + length_preference * log2 class of its size and the level makes a source's expected words
     its target. Whole expected copies are certain. The rest is an inclusion probability p: documents
     are ranked by random odds over inclusion odds, u/(1-u) : p/(1-p), and the first ones are taken,
-    as many as bring the source's words nearest to its target (within half a document). u is a hash of id
-    and seed, so reruns agree. Null text has size 0 and takes nothing; a null source is a source;
-    equal rows rank alike and are cut in any order, with the same result. Empty table: no rows.
+    as many as bring the source's words nearest to its target (within half a document). u is a hash of id, text
+    and seed, so reruns agree and rows without an id differ by their texts. Null text has size 0 and takes nothing; a null source is a source;
+    equal rows rank alike and are cut in any order, with the same result. A very long text is one document like any other. Empty
+    table: no rows; extra columns are not read.
 
     Scale: sizes are written once. A source's ranking is summed in 16384 bins (pre-aggregated), and
-    only the bin that holds the cut is sorted, so no task gets a source's rows.
+    only the bin that holds the cut is sorted, so no task gets a source's rows. The cut lies near even odds, where a bin has at most about
+    1/16384 of a source's different rows, whatever the inclusion probabilities are.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), key.alias("sk"), word_count(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), key.alias("sk"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("row"))
     rows = written(rows.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(0).cast("int")), "mix-sizes")
     classes = written(rows.groupBy("sk", "class").agg(F.first("source").alias("source"), F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")), "mix-classes")
     goal = targets(classes.groupBy("sk").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")), weights, share, cap)
@@ -76,7 +78,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     left = F.col("target") - F.sum(F.col("words") * F.col("sure")).over(own)
     plan = written(c.select("sk", "class", "source_size", "target", "expected", "sure", "p", left.alias("left")), "mix-plan")
 
-    u = (F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    u = (F.shiftrightunsigned(F.xxhash64(F.col("row"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     d = rows.join(plan, ["sk", "class"])
     d = d.withColumn("z", F.when((F.col("size") > 0) & (F.col("p") > 0), odds / (1 + odds))).withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.col("z") * BINS)).cast("int"))
@@ -88,21 +90,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cut = written(cut.select("sk", F.col("c.bin").alias("cut"), F.col("c.upto").alias("upto")), "mix-cut")
     d = d.join(cut, "sk", "left")
     at = d.filter(F.col("bin") == F.col("cut"))
-    so_far = F.sum("size").over(own.orderBy("z", "id", "size").rowsBetween(Window.unboundedPreceding, 0)) + F.col("upto")
+    so_far = F.sum("size").over(own.orderBy("z", "row", "size").rowsBetween(Window.unboundedPreceding, 0)) + F.col("upto")
     # Taken if at least half of it lies below the target.
     at = at.withColumn("more", ((so_far - F.col("size") / 2.0) <= F.col("left")).cast("long"))
     rest = d.filter(F.col("bin").isNull() | F.col("cut").isNull() | (F.col("bin") != F.col("cut")))
     rest = rest.withColumn("more", F.when(F.col("z").isNull(), 0).when(F.col("cut").isNull() | (F.col("bin") < F.col("cut")), 1).otherwise(0).cast("long"))
     copies = F.when(F.col("size") > 0, F.col("sure") + F.col("more")).otherwise(F.lit(0)).cast("long")
     out = rest.unionByName(at).withColumn("copies", copies)
-    return out.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "expected", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), "row", "size", "source", "source_size", "target", "expected", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of docs, each as many times as mix() takes it (none included), with all their columns."""
-    taken = mix(docs, id_col, text_col, source_col, **options).filter("copies > 0")
-    taken = written(taken.select(F.col(id_col).alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("copies").alias("__c")).distinct(), "mix-copies")
-    keyed = docs.withColumn("__i", F.col(id_col)).withColumn("__n", word_count(F.col(text_col)))
-    same = keyed["__i"].eqNullSafe(taken["__i"]) & keyed[source_col].cast("string").eqNullSafe(taken["__s"]) & (keyed["__n"] == taken["__n"])
-    rows = keyed.join(taken, same).select(*[keyed[f"`{c}`"] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("__c").cast("int"))).alias("__copy"))
-    return rows.drop("__copy")
+    """The rows of docs, each as many times as mix() takes it (none included), with all their columns. Of rows with the same id, text and
+    source, one stands for all, as often as they are taken together."""
+    taken = mix(docs, id_col, text_col, source_col, **options)
+    taken = taken.groupBy(F.col("row").alias("__h"), F.col("source").alias("__s")).agg(F.sum("copies").alias("__c"), F.count(F.lit(1)).alias("__n")).filter("__c > 0")
+    taken = written(taken, "mix-copies")
+    keyed = docs.withColumn("__r", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
+
+    def rows(of: DataFrame) -> DataFrame:
+        return keyed.join(of, (keyed["__r"] == of["__h"]) & keyed[source_col].cast("string").eqNullSafe(of["__s"]))
+
+    out = rows(taken.filter("__n = 1"))
+    several = taken.filter("__n > 1")
+    if not several.isEmpty():
+        out = out.unionByName(rows(several).dropDuplicates(["__h", "__s"]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("__c").cast("int"))).alias("__copy")).drop("__copy")
