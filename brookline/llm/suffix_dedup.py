@@ -3,8 +3,8 @@
 A bucket pointer of depth d names the class of all suffixes that share their first d bytes. The first
 pointers are the 8-byte strings themselves; a pointer of depth 2d is made from the pointer at a place and the one d bytes
 further on, so each level reuses the one before (8, 16, 32, 64, 128, 200). Pointers are 64-bit
-hashes of that pair, not ranks, so a task needs no other task's order to refine; where classes decide about a
-removal, two of them are compared (128 bits).
+hashes of that pair, not ranks, so a task needs no other task's order to refine. Where classes decide about a
+removal, two 64-bit values must agree: anchor and span pointer for whole spans, two independent pointers for blocks and windows.
 
 Only suffixes that can matter are ever shuffled. The q-gram bucket of a 200-byte window is that of the least depth-32 pointer
 in it (its anchor); equal windows have equal anchors at equal places. Windows in a row with one
@@ -197,7 +197,7 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
         def one_text(i: int, x: int, text: bytes, found: list[dict]) -> tuple[np.ndarray, ...]:
             first, last, gap = (np.array([s[c] for s in found], np.int64) for c in ("first", "last", "gap"))
             k, a, z, core, one, two = blocks_of(text, first, last, gap, length)
-            return np.full(len(k), i), np.full(len(k), x, np.int32), a.astype(np.int32), z.astype(np.int32), core, one, two, np.array([s["many"] for s in found])[k]
+            return np.full(len(k), i), np.full(len(k), x), a.astype(np.int32), z.astype(np.int32), core, one, two, np.array([s["many"] for s in found])[k]
 
         return _joined(names, batches, one_text)
 
@@ -206,7 +206,7 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
             one, two = (pointers(text, (length - WIDE + 1, length), lane)[length].view(np.int64) for lane in (0, 1))
             p = np.concatenate([np.arange(s["first"], s["last"] + 1) for s in found])
             many = np.repeat([s["many"] for s in found], [s["last"] - s["first"] + 1 for s in found])
-            return np.full(len(p), i), np.full(len(p), x, np.int32), p.astype(np.int32), one[p], two[p], many
+            return np.full(len(p), i), np.full(len(p), x), p.astype(np.int32), one[p], two[p], many
 
         return _joined(["id", "x", "p", "one", "two", "many"], batches, one_text)
 
@@ -217,17 +217,17 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
         return docs.join(lists.hint("shuffle_hash"), ["id", "x"]).select("id", "x", "t", "spans")
 
     # Rows are written once, so that their numbers stay.
-    found = docs.mapInArrow(spans, "id long, x int, first int, last int, gap short, anchor long, span long")
+    found = docs.mapInArrow(spans, "id long, x long, first int, last int, gap short, anchor long, span long")
     every = written(found.withColumn("at", F.monotonically_increasing_id()).withColumn("many", F.lit(False)), "spans")
     classes, twice, chosen = _classes(every, "anchor", "span")
     whole = written(covered(_semi(every, ("anchor", "span"), twice)), "whole-spans")
     # A text comes once even if its row is repeated: a span is a place in a text.
-    held = with_text(_listed(every, chosen, "first", "last", "gap")).mapInArrow(blocks, "id long, x int, first int, last int, core long, one long, two long, many boolean")
+    held = with_text(_listed(every, chosen, "first", "last", "gap")).mapInArrow(blocks, "id long, x long, first int, last int, core long, one long, two long, many boolean")
     held = written(held.withColumn("at", F.monotonically_increasing_id()), "blocks")
     discard(every, classes)
     classes, twice, chosen = _classes(held, "core", "one", "two")
     parts = written(covered(_semi(held.filter("not many"), ("core", "one", "two"), twice)), "whole-blocks")
-    single = with_text(_listed(held, chosen, "first", "last")).mapInArrow(windows, "id long, x int, p int, one long, two long, many boolean")
+    single = with_text(_listed(held, chosen, "first", "last")).mapInArrow(windows, "id long, x long, p int, one long, two long, many boolean")
     single = written(single, "windows")
     discard(held, classes)
     again = single.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many")).filter("n > 1 or many")
@@ -243,10 +243,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Every byte goes that a `length`-byte string covers which also starts elsewhere, in the same text or another.
     Strings are judged on the input; matches never cross texts. Null and empty texts have 0 bytes and keep the hash of nothing;
     texts shorter than `length` stay as they are. Repeated rows count as texts of their own, so
-    they remove each other. Null ids are ids like any other.
+    they remove each other. Null ids are ids like any other; rows that share an id, or have none, are told apart by 64 bits
+    of their text. Very long texts are taken whole, one at a time. An empty table gives no rows; extra columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("real"), text.cast("binary").alias("t")).select("real", F.coalesce("real", F.lit(-(1 << 63))).alias("id"), F.hash("t").alias("x"), "t")
+    rows = docs.select(F.col(id_col).cast("long").alias("real"), text.cast("binary").alias("t")).select("real", F.coalesce("real", F.lit(-(1 << 63))).alias("id"), F.xxhash64("t").alias("x"), "t")
     runs = repeated_runs(rows.select("id", "x", "t"), length).groupBy("id", "x").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     runs = written(runs.select("id", "x", F.transform("runs", lambda r: r["a"]).alias("a"), F.transform("runs", lambda r: r["b"]).alias("b")), "repeated-runs")
 
