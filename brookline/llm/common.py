@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,10 +91,10 @@ _kept: dict[str, object] = {}
 
 
 def kept_in_worker(key: str, make):
-    """What make() gives, kept in this Python worker for later tasks with the same key. The last few keys stay."""
+    """What make() gives, kept in this Python worker for later tasks with the same key. Spark hands workers on from stage to
+    stage, so what another key kept goes first and only one thing is ever held."""
     if key not in _kept:
-        while len(_kept) >= 3:
-            _kept.pop(next(iter(_kept)))
+        _kept.clear()
         _kept[key] = make()
     return _kept[key]
 
@@ -142,7 +143,7 @@ class Pieces:
         self._learn(set().union(*split))
         get = self.known.__getitem__
         pieces = np.array([len(x) for x in split], np.int64)
-        ids = np.fromiter((k for x in split for k in map(get, x)), np.int64, int(pieces.sum()))
+        ids = np.fromiter(map(get, chain.from_iterable(split)), np.int64, int(pieces.sum()))
         size = np.ones(len(ids), np.int64)
         odd = np.flatnonzero(ids < 0)
         if len(odd):

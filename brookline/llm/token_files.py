@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import io
 import json
+import math
 import os
 import struct
 import uuid
@@ -144,9 +145,11 @@ class Encoder:
     """Ids of texts by the tokenizers library. White space separates its words, so each distinct run
     between ASCII white space is encoded once and remembered. A comma or full stop after a letter is a word of its own to
     the library, and it lower-cases; runs that differ in no more than that share one encoding. Memory has two generations: when the
-    newer is full it becomes the older, and what is used again moves up."""
+    newer is full (by a rough count of bytes that takes in the length of words) it becomes the older, and what is used again moves up."""
 
-    def __init__(self, path: str, most: int = 300_000, most_bases: int = 900_000):
+    ENTRY = 200
+
+    def __init__(self, path: str, most: int = 20_000_000, most_bases: int = 60_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -155,6 +158,7 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.base: dict[str, bytes] = {}
         self.older_base: dict[str, bytes] = {}
+        self.size = self.base_size = 0
         # Whether an id ends a word of the library.
         vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -185,11 +189,15 @@ class Encoder:
         body = w[:-1] if mark else w
         return body.lower() if body.isascii() else body, mark
 
+    def _bytes(self, words: set[str] | list[str]) -> int:
+        return 5 * sum(map(len, words)) + self.ENTRY * len(words)  # a word and its ids
+
     def learn(self, words: set[str]) -> None:
         new = words.difference(self.known)
-        if len(self.known) + len(new) > self.most:
+        self.size += self._bytes(new)
+        if self.size > self.most:
             self.older, self.known = self.known, {}
-            new = words
+            new, self.size = words, self._bytes(words)
         parts = {}
         for w in new:
             if w in self.older:
@@ -198,12 +206,14 @@ class Encoder:
                 parts[w] = self._split(w)
             else:
                 self.known[w] = b""
-        bodies = {b for b, _ in parts.values()}.difference(self.base)
-        if len(self.base) + len(bodies) > self.most_bases:
+        bodies = {b for b, _ in parts.values()}
+        fresh = bodies.difference(self.base)
+        self.base_size += self._bytes(fresh)
+        if self.base_size > self.most_bases:
             self.older_base, self.base = self.base, {}
-            bodies = {b for b, _ in parts.values()}
+            fresh, self.base_size = bodies, self._bytes(bodies)
         unseen = []
-        for b in bodies:
+        for b in fresh:
             if b in self.older_base:
                 self.base[b] = self.older_base[b]
             else:
@@ -227,20 +237,24 @@ def _open(uri: str):
     return fs, path
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, files: int | None = None, block: int = BLOCK, planes: str = "bit") -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, files: int | None = None, file_bytes: int = 32 << 20, block: int = BLOCK, planes: str = "bit") -> DataFrame:
     """Write the ids of all texts to `folder` in ascending order of id; returns file, path, rows, ids, start.
 
     Null text is empty and gives the end id alone; null ids go first, as the least integer; repeated
     ids follow each other in the order of a text hash; an empty table gives no files. Extra columns
     are not read. Each task sorts one range of ids and writes one file under a name of its own, then
-    moves it to its final name, so a task that runs twice leaves the same file.
+    moves it to its final name, so a task that runs twice leaves the same file. A file holds about file_bytes of text and 64 bytes a row
+    (a single longer text is taken whole), so the number of files follows the input.
     `start` is a running sum over one row per file.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     rows = rows.withColumn("x", F.xxhash64("t"))
-    files = files or max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(files, "id", "x").sortWithinPartitions("id", "x")
+    if not files:
+        size, n = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.count(F.lit(1))).first()
+        files = max(2 * spark.sparkContext.defaultParallelism, math.ceil((size + 64 * n) / file_bytes))
+    # Equal rows may come in any order, so a number of its own lets ranges cut through very many of them.
+    ranged = rows.withColumn("m", F.monotonically_increasing_id()).repartitionByRange(files, "id", "x", "m").sortWithinPartitions("id", "x", "m")
     schema = "file int, path string, rows long, ids long"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
