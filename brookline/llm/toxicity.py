@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -146,14 +145,14 @@ def words_of(text: str | None) -> list[str]:
     return found
 
 
-def thin_copies(docs: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
+def thin_copies(docs: list[tuple[np.ndarray, int]], crc: np.ndarray) -> list[tuple[np.ndarray, int]]:
     """One of each family of near copies, by the smallest hashes of their rare words: copies share a label and
-    would teach their accidental words."""
-    df = Counter(w for words, _ in docs for w in set(words))
+    would teach their accidental words. docs: word numbers and label; crc: the hash of each word."""
+    df = _texts_with([words for words, _ in docs], len(crc))
     most = max(3, len(docs) // 100)
     seen, out = set(), []
     for words, y in docs:
-        low = sorted({zlib.crc32(w.encode()) for w in words if df[w] <= most})[:6]
+        low = np.unique(crc[words[df[words] <= most]])[:6].tolist()
         pairs = set(zip(low, low[1:], strict=False))
         if pairs and pairs & seen:
             continue
@@ -162,47 +161,66 @@ def thin_copies(docs: list[tuple[list[str], int]]) -> list[tuple[list[str], int]
     return out
 
 
+def _texts_with(docs: list[np.ndarray], n: int) -> np.ndarray:
+    """Of each word the number of texts that hold it."""
+    out = np.zeros(n, np.int64)
+    for words in docs:
+        out[np.unique(words)] += 1
+    return out
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places first, first + 1, ... of runs of the given sizes."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def train(rows: list[tuple[str, str]], most_words: int = 30_000, least_texts: int = 10, epochs: int = 10, seed: int = 3, log: Callable[[str], None] | None = None) -> Network | None:
     """Multiple-instance training: a text is as toxic as its most toxic window, so each epoch scores all windows of
     the sample and learns from the strongest of each text. Word rows start at smoothed log-odds in their
-    first coordinate. None if the sample lacks one of the labels."""
-    docs = thin_copies([(w, int(int(y) == 1)) for t, y in rows if (w := words_of(t))])
+    first coordinate. Words in fewer than least_texts texts have no row of their own; with few texts of a label, an eighth of them is
+    enough. None if the sample lacks one of the labels. Texts are held as numbers of words, about 4 bytes a word."""
+    number: dict[str, int] = {}
+    docs = [(np.array([number.setdefault(w, len(number)) for w in found], np.int32), int(int(y) == 1)) for t, y in rows if (found := words_of(t))]
+    every = list(number)
+    del number
+    docs = thin_copies(docs, np.array([zlib.crc32(w.encode()) for w in every], np.int64))
     if len({y for _, y in docs}) < 2:
         return None
-    df = [Counter(), Counter()]
-    for words, y in docs:
-        df[y].update(set(words))
-    n = [sum(1 - y for _, y in docs), sum(y for _, y in docs)]
-    frequent = Counter({w: df[0][w] + df[1][w] for w in (df[0] | df[1]) if df[0][w] + df[1][w] >= least_texts})
-    vocabulary = [w for w, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[:most_words]]
-    net = Network(vocabulary, seed)
-    odds = [np.log((df[1][w] + 0.5) / (n[1] + 1)) - np.log((df[0][w] + 0.5 + 0.02 * n[0]) / (n[0] + 1)) for w in vocabulary]
-    net.p["words"][1:, 0] += np.clip(np.array(odds, np.float32), 0, 4) * 0.5
-
-    every = sorted({w for words, _ in docs for w in words})
-    at = {w: k for k, w in enumerate(every)}
+    y = np.array([y for _, y in docs])
+    n = [int((y == 0).sum()), int((y == 1).sum())]
+    df = [_texts_with([words for words, label in docs if label == k], len(every)) for k in (0, 1)]
+    both = df[0] + df[1]
+    frequent = np.flatnonzero(both >= min(least_texts, max(2, min(n) // 8)))
+    frequent = sorted(frequent.tolist(), key=lambda w: (-both[w], every[w]))[:most_words]
+    net = Network([every[w] for w in frequent], seed)
+    odds = np.log((df[1][frequent] + 0.5) / (n[1] + 1)) - np.log((df[0][frequent] + 0.5 + 0.02 * n[0]) / (n[0] + 1))
+    net.p["words"][1:, 0] += np.clip(odds, 0, 4).astype(np.float32) * 0.5
+
     flat, first = net.grams(every)
-    first = np.r_[first, len(flat)]
-    grams = [flat[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-    rows_of = np.array([net.index.get(w, 0) for w in every])
+    flat, size = flat.astype(np.int32), np.diff(np.r_[first, len(flat)])
+    rows_of = np.array([net.index.get(w, 0) for w in every], np.int32)
     idx, owner = [], []
-    for k, (words, _) in enumerate(docs):
-        ids = np.array([at[w] for w in words])
-        for s in windows(len(ids)):
-            w = np.full(WINDOW, -1)
-            w[: len(ids[s : s + WINDOW])] = ids[s : s + WINDOW]
-            idx.append(w)
-            owner.append(k)
-    idx, owner = np.array(idx), np.array(owner)
-    y = np.array([y for _, y in docs])
+    for k, (ids, _) in enumerate(docs):
+        starts = windows(len(ids))
+        at = starts[:, None] + np.arange(WINDOW)
+        idx.append(np.where(at < len(ids), ids[np.minimum(at, len(ids) - 1)], -1).astype(np.int32))
+        owner.append(np.full(len(starts), k))
+    idx, owner = np.concatenate(idx), np.concatenate(owner)
+
+    def inputs(some: np.ndarray) -> np.ndarray:
+        chars = np.add.reduceat(net.p["chars"][flat[_spread(first[some], size[some])]], np.cumsum(size[some]) - size[some], axis=0) / size[some][:, None].astype(np.float32)
+        return np.concatenate([net.p["words"][rows_of[some]], chars], axis=1)
+
+    def all_logits() -> tuple[np.ndarray, np.ndarray]:
+        parts = [inputs(np.arange(a, min(a + 4096, len(every)))) @ net.p["w"] + net.p["b"] for a in range(0, len(every), 4096)]
+        proj = np.concatenate(parts)
+        return proj, np.concatenate([net.forward(*_gather(proj, idx[a : a + 1024])) for a in range(0, len(idx), 1024)])
+
     rng = np.random.default_rng(seed)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step, weight = 0, np.where(y == 1, 0.5 * len(y) / n[1], 0.5 * len(y) / n[0])
-    top = np.zeros(len(docs), np.int64)
     for epoch in range(epochs):
-        sums = np.add.reduceat(net.p["chars"][flat], first[:-1], axis=0) / np.diff(first)[:, None]
-        proj = np.concatenate([net.p["words"][rows_of], sums], axis=1) @ net.p["w"] + net.p["b"]
-        logits = np.concatenate([net.forward(*_gather(proj, idx[a : a + 4096])) for a in range(0, len(idx), 4096)])
+        proj, logits = all_logits()
         order = np.lexsort((logits, owner))
         ends = np.r_[np.flatnonzero(np.diff(owner[order])), len(order) - 1]
         top = order[ends]  # by document, its strongest window
@@ -215,10 +233,9 @@ def train(rows: list[tuple[str, str]], most_words: int = 30_000, least_texts: in
         rng.shuffle(use)
         rate = 0.02 * (1 - epoch / epochs) + 0.002
         for a in range(0, len(use), 64):
-            w = idx[use[a : a + 64]]
-            x, mask = _gather(proj, w)
-            seen, back = np.unique(w.T[mask], return_inverse=True)
-            fresh = np.concatenate([net.p["words"][rows_of[seen]], np.add.reduceat(net.p["chars"][np.concatenate([grams[s] for s in seen])], np.r_[0, np.cumsum(np.diff(first)[seen])[:-1]], axis=0) / np.diff(first)[seen][:, None]], axis=1)
+            x, mask = _gather(proj, idx[use[a : a + 64]])
+            seen, back = np.unique(idx[use[a : a + 64]].T[mask], return_inverse=True)
+            fresh = inputs(seen)
             x[mask] = (fresh @ net.p["w"] + net.p["b"])[back]
             keep: dict = {}
             z = net.forward(x, mask, keep)
@@ -231,8 +248,8 @@ def train(rows: list[tuple[str, str]], most_words: int = 30_000, least_texts: in
             din = by @ net.p["w"].T
             g["words"], g["chars"] = np.zeros_like(net.p["words"]), np.zeros_like(net.p["chars"])
             np.add.at(g["words"], rows_of[seen], din[:, :WORD_DIM])
-            sizes = np.diff(first)[seen]
-            np.add.at(g["chars"], np.concatenate([grams[s] for s in seen]), np.repeat(din[:, WORD_DIM:] / sizes[:, None], sizes, axis=0))
+            sizes = size[seen]
+            np.add.at(g["chars"], flat[_spread(first[seen], sizes)], np.repeat(din[:, WORD_DIM:] / sizes[:, None], sizes, axis=0))
             step += 1
             for k, v in net.p.items():
                 grad = g[k] + 1e-5 * v
@@ -242,11 +259,8 @@ def train(rows: list[tuple[str, str]], most_words: int = 30_000, least_texts: in
                 s2 *= 0.99
                 s2 += 0.01 * grad * grad
                 v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s2 / (1 - 0.99**step)) + 1e-6)
-    sums = np.add.reduceat(net.p["chars"][flat], first[:-1], axis=0) / np.diff(first)[:, None]
-    proj = np.concatenate([net.p["words"][rows_of], sums], axis=1) @ net.p["w"] + net.p["b"]
-    logits = np.concatenate([net.forward(*_gather(proj, idx[a : a + 4096])) for a in range(0, len(idx), 4096)])
     best = np.full(len(docs), -np.inf)
-    np.maximum.at(best, owner, logits)
+    np.maximum.at(best, owner, all_logits()[1])
     net.scale = _calibrate(best, y, np.full(len(y), 1 / len(y)))
     return net
 
