@@ -5,14 +5,13 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookline.llm.common import Pieces, fresh_key, kept_in_worker
-
 WORDS = re.compile(r"[^\W_]+")
 #: Characters of test items that one pass over the documents searches for; more items take more passes.
 BLOCK_CHARS = 2_000_000
@@ -55,8 +54,8 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 class Index:
     """Seeds of a block of test items. Words of items have numbers from 1; all other words are 0 and match nothing."""
 
-    def __init__(self, key: str, items: list[tuple[int, list[str]]], frequency: dict[str, int], total: int):
-        self.key, self.number = key, {w: k + 1 for k, w in enumerate(sorted({w for _, words in items for w in words}))}
+    def __init__(self, items: list[tuple[int, list[str]]], frequency: dict[str, int], total: int):
+        self.number = {w: k + 1 for k, w in enumerate(sorted({w for _, words in items for w in words}))}
         self.items = [(i, np.array([self.number[w] for w in words], np.int64)) for i, words in items]
         self.short = any(len(words) < SEED_WORDS for _, words in items)
         seeds: dict[tuple[int, ...], list[tuple[int, int]]] = {}
@@ -130,17 +129,10 @@ class Index:
                 yield item_id, best[0], best[1], best[2]
 
 
-def numbers(number: dict[str, int]) -> Pieces:
-    """Words to numbers of an index, 0 for words that it lacks."""
-    get = number.get
-    return Pieces(lambda pieces: [[get(w, 0) for w in WORDS.findall(p.lower())] for p in pieces])
-
-
-def _words(to: Pieces, texts: pa.Array) -> Iterator[np.ndarray]:
-    """The word numbers of each text, some texts at a time."""
-    for a in range(0, len(texts), 128):
-        flat, sizes = to(texts.slice(a, 128).to_pylist())
-        yield from np.split(flat, np.cumsum(sizes)[:-1])
+def numbers(number: dict[str, int], text: str | None) -> np.ndarray:
+    """The words of a text as numbers of an index, 0 for words that it lacks."""
+    words = words_of(text)
+    return np.fromiter(map(number.get, words, repeat(0)), np.int64, len(words))
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, list[str]]]]:
@@ -160,19 +152,23 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
     for items in _blocks(benchmark, item_col, item_text):
         number = {w: k + 1 for k, w in enumerate(sorted({w for _, words in items for w in words}))}
 
-        key = fresh_key()
-
-        def count(batches: Iterator[pa.RecordBatch], number: dict[str, int] = number, key: str = key) -> Iterator[pa.RecordBatch]:
-            to, n = kept_in_worker(key, lambda: numbers(number)), np.zeros(len(number) + 1, np.int64)
+        def count(batches: Iterator[pa.RecordBatch], number: dict[str, int] = number) -> Iterator[pa.RecordBatch]:
+            n, waiting, size = np.zeros(len(number) + 1, np.int64), [], 0
             for batch in batches:
-                for a in range(0, batch.num_rows, 128):
-                    n += np.bincount(to(batch.column(0).slice(a, 128).to_pylist())[0], minlength=len(n))
+                for text in batch.column(0):
+                    waiting.append(numbers(number, text.as_py()))
+                    size += len(waiting[-1])
+                    if size > 500_000:
+                        n += np.bincount(np.concatenate(waiting), minlength=len(n))
+                        waiting, size = [], 0
+            if waiting:
+                n += np.bincount(np.concatenate(waiting), minlength=len(n))
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n[used], pa.int64())], ["k", "n"])
 
         counts = {r["k"]: r["n"] for r in docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
         names = {k: w for w, k in number.items()}
-        out.append(Index(key, items, {names[k]: n for k, n in counts.items() if k}, sum(counts.values())))
+        out.append(Index(items, {names[k]: n for k, n in counts.items() if k}, sum(counts.values())))
     return out
 
 
@@ -192,9 +188,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for index in _indexes(docs, benchmark, text_col, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            to = kept_in_worker(index.key, lambda: numbers(index.number))
             for batch in batches:
-                found = [(i, *m) for i, words in zip(batch.column(0).to_pylist(), _words(to, batch.column(1)), strict=True) for m in index.matches(words, least, passage)]
+                found = [(i, *m) for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in index.matches(numbers(index.number, text.as_py()), least, passage)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()], strict=True)], ["id", "item_id", "score", "first_word", "last_word"])
 
@@ -211,9 +206,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for index in _indexes(docs, benchmark, text_col, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            to = kept_in_worker(index.key, lambda: numbers(index.number))
             for batch in batches:
-                clean = [next(index.matches(words, least, passage), None) is None for words in _words(to, batch.column(at))]
+                clean = [next(index.matches(numbers(index.number, text.as_py()), least, passage), None) is None for text in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)
