@@ -3,6 +3,7 @@ DataFrame functions only."""
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -128,8 +129,9 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
     idf = {w: math.log((n + 1) / (seen.get(w, 0) + sum(w in v for _, v in vectors) + 1)) + 1 for w in known}
     rare = math.log(n + 1) + 1
     norms = [math.sqrt(sum((c * idf[w]) ** 2 for w, c in v.items())) for _, v in vectors]
-    rows = [(w, idf[w], [v[w] * idf[w] ** 2 / norm for (_, v), norm in zip(vectors, norms, strict=True)]) for w in known]
-    weights = F.broadcast(files.sparkSession.createDataFrame(rows, "w string, idf double, v array<double>"))  # one row for each word of the templates
+    rows = [{"w": w, "idf": idf[w], "v": [v[w] * idf[w] ** 2 / norm for (_, v), norm in zip(vectors, norms, strict=True)]} for w in known]
+    weights = F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<w: string, idf: double, v: array<double>>>")).alias("r")
+    weights = F.broadcast(files.sparkSession.range(1).select(weights).select("r.*"))  # one row for each word of the templates
     many = F.sum(F.pow(F.col("c") * F.coalesce("idf", F.lit(rare)), F.lit(2.0)))
     dots = [F.coalesce(F.sum(F.col("c") * F.col("v")[k]), F.lit(0.0)) for k in range(len(vectors))]
     scored = words.join(weights, "w", "left").groupBy("row", "unit").agg(many.alias("norm"), F.array(*dots).alias("d"))
