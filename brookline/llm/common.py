@@ -111,7 +111,7 @@ class Pieces:
 
     ENTRY = 160
 
-    def __init__(self, numbers: Callable[[list[str]], Iterable[list[int]]], most: int = 24_000_000, forget: Callable[[], None] = lambda: None):
+    def __init__(self, numbers: Callable[[list[str]], Iterable[list[int]]], most: int = 40_000_000, forget: Callable[[], None] = lambda: None):
         self.numbers, self.most, self.forget = numbers, most, forget
         self.known: dict[str, int] = {}
         self.others: list[list[int]] = []

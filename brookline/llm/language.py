@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,15 @@ _STARTS = [a for a, _ in SCRIPTS]
 ROWS = 1 << 16
 #: Letters of a step of the path at most; longer runs of letters are several steps.
 LONGEST = 40
+#: All letters before this one are Latin.
+LATIN_END = "\u0250"
 UNKNOWN = "und"
 
 
-def script_of(word: str) -> str | None:
-    """The script of a word's first letter."""
-    return SCRIPTS[bisect_right(_STARTS, ord(word[0])) - 1][1]
+@lru_cache(1 << 16)
+def script_of(letter: str) -> str | None:
+    """The script of a letter."""
+    return SCRIPTS[bisect_right(_STARTS, ord(letter)) - 1][1]
 
 
 def steps_of(text: str) -> list[tuple[int, int]]:
@@ -43,15 +47,13 @@ def steps_of(text: str) -> list[tuple[int, int]]:
     out = []
     for m in LETTERS.finditer(text):
         a, z = m.span()
-        if z - a <= LONGEST and m[0].isascii():
-            out.append((a, z))
-            continue
         cuts, now = [a], None
-        for k in range(a, z):
-            script = script_of(text[k]) or now
-            if now not in (None, script):
-                cuts.append(k)
-            now = script
+        if max(m[0]) >= LATIN_END:
+            for k in range(a, z):
+                script = script_of(text[k]) or now
+                if now not in (None, script):
+                    cuts.append(k)
+                now = script
         for lo, hi in zip(cuts, [*cuts[1:], z], strict=True):
             out += [(k, min(hi, k + LONGEST)) for k in range(lo, hi, LONGEST)]
     return out
@@ -59,6 +61,9 @@ def steps_of(text: str) -> list[tuple[int, int]]:
 
 def words_of(text: str) -> list[str]:
     """The steps' letters in lower case."""
+    bare = text.strip(".,;:!?()\"'")
+    if len(bare) <= LONGEST and bare.isalpha() and (bare.isascii() or max(bare) < LATIN_END):  # one step
+        return [bare.lower()]
     return [text[a:z].lower() for a, z in steps_of(text)]
 
 
@@ -96,7 +101,7 @@ class Model:
             # Repeats of a word count by their square root, so that texts in many copies don't rule.
             np.add.at(counts[:, k], feature, np.repeat(np.sqrt(list(words.values())), np.diff(np.r_[first, len(feature)])))
             for w, n in words.items():
-                letters.setdefault(script_of(w), Counter())[lang] += n * len(w)
+                letters.setdefault(script_of(w[0]), Counter())[lang] += n * len(w)
         total = Counter()
         for c in letters.values():
             total.update(c)
@@ -108,12 +113,11 @@ class Model:
         """Per word and language, clipped; languages that a word's script does not admit are far below all others."""
         feature, first = grams(words)
         s = np.clip(np.add.reduceat(self.table[feature], first, axis=0), -most, most)
-        for k, w in enumerate(words):
-            allowed = self.scripts.get(script_of(w))
+        first_letters = np.array([ord(w[0]) for w in words])
+        for letter in np.unique(first_letters).tolist():
+            allowed = self.scripts.get(script_of(chr(letter)))
             if allowed and len(allowed) < len(self.langs):
-                shut = np.ones(len(self.langs), bool)
-                shut[allowed] = False
-                s[k, shut] = -100.0
+                s[np.ix_(first_letters == letter, np.setdiff1d(np.arange(len(self.langs)), allowed))] = -100.0
         return s
 
 
@@ -169,7 +173,7 @@ class Labeller:
 
     def _learn(self, pieces: list[str]) -> list[list[int]]:
         words = [words_of(p) for p in pieces]
-        fresh = sorted({w for found in words for w in found})
+        fresh = list({w: 0 for found in words for w in found})
         if self.n + len(fresh) > len(self.rows):
             more = self.n // 2 + len(fresh)
             self.rows, self.weight = np.concatenate([self.rows, np.zeros((more, self.rows.shape[1]), np.float32)]), np.r_[self.weight, np.zeros(more, np.int64)]

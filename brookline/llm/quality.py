@@ -136,7 +136,8 @@ def grade(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text_c
     """id, expected_grade, tail_probability (that the grade is at least tail_from; the highest grade by default).
 
     Null and empty texts are graded by their line statistics alone. Without a model (fewer than two grades were
-    seen) both are null. Repeated rows each get a row; an empty table gives none.
+    seen) both are null. Equal texts get equal grades; repeated rows each get a row; an empty table gives none. Very long texts are taken
+    whole. Extra columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

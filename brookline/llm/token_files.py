@@ -149,7 +149,7 @@ class Encoder:
 
     ENTRY = 200
 
-    def __init__(self, path: str, most: int = 20_000_000, most_bases: int = 60_000_000):
+    def __init__(self, path: str, most: int = 80_000_000, most_bases: int = 100_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -224,8 +224,8 @@ class Encoder:
 
     def __call__(self, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
         end = struct.pack("<I", end_id)
-        for a in range(0, len(texts), 64):
-            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[a : a + 64]]
+        for a in range(0, len(texts), 128):
+            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[a : a + 128]]
             self.learn(set().union(*split))
             get = self.known.__getitem__
             for words in split:

@@ -330,7 +330,8 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
     """Score every whole text: id, score (0 to 1), or all of keep_columns and `score`.
 
     Texts without words (null and empty too) score as a text without a toxic window. Without a network (one label only was
-    seen) all score `prior`. Repeated rows each get a row; an empty table gives none.
+    seen) all score `prior`. Equal texts score alike; repeated rows each get a row; an empty table gives none. Very long texts are scored in
+    all their windows. Columns other than those named are not read.
     """
     cols = keep_columns or [id_col]
     kept = docs.select(*cols, F.col(text_col).cast("string").alias("__text"))
@@ -349,7 +350,7 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
 
 
 def drop_toxic(docs: DataFrame, net: Network | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs that score below `least`, with all their columns. Without a network all rows stay."""
+    """The rows of docs that score below `least`, with all their columns, whatever they are called. Without a network all rows stay."""
     if net is None:
         return docs
     at = docs.columns.index(text_col)
