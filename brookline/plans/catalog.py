@@ -140,7 +140,7 @@ def _define() -> None:
     pipeline("keycounttotal_first", "events | keycounttotal user_id -r first | select '{key: key, n: keycount, first: first.event_id}'", "SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n, min(event_id) AS first FROM events GROUP BY user_id")
     pipeline("lastn_one", f"events | lastn user_id -m 1 | {cut}", f"SELECT {e} FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
     pipeline("diff_value", "events | diff -k user_id -f value --value 50 | select '{event_id: event_id, d: value_diff, p: value_pct_change}'", "SELECT event_id, round(value - 50, 6) AS d, round((value - 50) / 50 * 100, 4) AS p FROM events", lambda d: d.withColumns({"d": F.round("d", 6), "p": F.round("p", 4)}))
-    pipeline("sample_reservoir", "events | sample --reservoir 50 --seed 3", "SELECT 50 AS n, 50 AS ids", lambda d: d.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids")))
+    pipeline("sample_reservoir", "events | sample --reservoir 50 --seed 3", "SELECT CAST(50 AS BIGINT) AS n, CAST(50 AS BIGINT) AS ids", lambda d: d.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids")))
     pipeline("window_update", "events | window ts -w 1d -k event_type --emit on-update", f"SELECT {w.format(86400000)}, CAST(86400 AS BIGINT) AS duration, event_type AS key, row_number() OVER (PARTITION BY w, event_type ORDER BY event_id) AS count FROM (SELECT *, (epoch_us(ts) // 1000) // 86400000 * 86400000 AS w FROM events)")
     pipeline("fan_out_union", "events | match \"value > `100`\" | $big ; $big | match \"event_type == 'click'\" | $out ; $big | match \"event_type == 'view'\" | $out ; $out | sum value -k event_type -s total", "SELECT event_type AS key, round(sum(value), 4) AS total FROM events WHERE value > 100 AND event_type IN ('click', 'view') GROUP BY 1", lambda d: d.withColumn("total", F.round("total", 4)))
 
@@ -184,7 +184,7 @@ COMPONENTS = """
 WITH RECURSIVE pair AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS a, l_partkey + 1000000000 AS b FROM lineitem),
 edge AS (SELECT k, a, b FROM pair UNION SELECT k, b, a FROM pair),
 reach AS (SELECT k, a, b FROM edge UNION SELECT r.k, r.a, e.b FROM reach r JOIN edge e ON r.k = e.k AND r.b = e.a)
-SELECT k, count(DISTINCT low) AS n FROM (SELECT k, a, min(b) AS low FROM reach GROUP BY k, a) GROUP BY k
+SELECT k, CAST(count(DISTINCT low) AS INTEGER) AS n FROM (SELECT k, a, min(b) AS low FROM reach GROUP BY k, a) GROUP BY k
 """
 
 

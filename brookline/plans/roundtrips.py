@@ -82,7 +82,7 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MIXED = """
-SELECT event_id AS id, k[event_id % 5 + 1] AS kind, n[event_id % 5 + 1] AS n, event_id % 5 = 0 AS seven, CASE WHEN event_id % 5 = 2 THEN 'a' END AS first,
+SELECT event_id AS id, k[event_id % 5 + 1] AS kind, CAST(n[event_id % 5 + 1] AS BIGINT) AS n, event_id % 5 = 0 AS seven, CASE WHEN event_id % 5 = 2 THEN 'a' END AS first,
        CASE WHEN event_id % 5 = 2 THEN 'true' END AS z, CASE WHEN event_id % 5 = 2 THEN 1.0::DOUBLE END AS sum, CASE WHEN event_id % 5 = 4 THEN 1.0::DOUBLE END AS deep
 FROM events, (SELECT ['number', 'string', 'array', 'null', 'null'] AS k, [NULL, 5, 3, NULL, NULL] AS n)
 """
@@ -114,7 +114,7 @@ def found() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "variant": (mixed, MIXED),
         "lambda_acc": (injected, "SELECT * FROM region"),
         "exec": (command, "SELECT n_nationkey AS k, n_name AS name FROM nation"),
-        "null_source": (counted("null_source"), "SELECT 0 AS n"),
-        "gen_count": (counted("gen -c 1000 --seed 1"), "SELECT 1000 AS n"),
-        "keygen_mean": (keygen_mean, "SELECT true AS near, 20000 AS keys"),
+        "null_source": (counted("null_source"), "SELECT CAST(0 AS BIGINT) AS n"),
+        "gen_count": (counted("gen -c 1000 --seed 1"), "SELECT CAST(1000 AS BIGINT) AS n"),
+        "keygen_mean": (keygen_mean, "SELECT true AS near, CAST(20000 AS BIGINT) AS keys"),
     }
